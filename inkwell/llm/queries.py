@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, decontamination
+from inkwell.llm import bpe, decontamination, fingerprints, line_dedup
 from inkwell.llm.common import documents
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -22,7 +22,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), VOCABULARY, PATTERN)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(documents(spark, sf_dir))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.clean_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
+    "op7_fingerprints": op7_fingerprints,
+    "op10_line_dedup": op10_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
 }
@@ -47,4 +57,17 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 """
 
-ORACLES = {"op3_decontamination": OP3_SQL}
+OP10_SQL = f"""
+WITH l AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
+  list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{line_dedup.HIDDEN}', chr(10), 'g'),
+    '{line_dedup.BLOCKS}', chr(10), 'g'), '{line_dedup.TAGS}', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM pages),
+p AS (SELECT row_number() OVER () AS k, * FROM l),
+t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
+n AS (SELECT host, line, count(DISTINCT k) AS n FROM (SELECT host, k, unnest(lines) AS line FROM p) GROUP BY host, line),
+bad AS (SELECT n.host, list(line) AS bad FROM n JOIN t ON n.host = t.host WHERE n >= 3 AND n > pages * CAST(0.1 AS DOUBLE) GROUP BY n.host),
+k AS (SELECT page_id, p.host, lines, CASE WHEN bad IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(bad, x)) END AS kept
+      FROM p LEFT JOIN bad ON p.host = bad.host)
+SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped, array_to_string(kept, chr(10)) AS text FROM k
+"""
+
+ORACLES = {"op10_line_dedup": OP10_SQL, "op3_decontamination": OP3_SQL}
