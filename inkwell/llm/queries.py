@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, decontamination, fingerprints, line_dedup, toxicity
-from inkwell.llm.common import documents
+from inkwell.llm import bpe, chat, decontamination, fingerprints, line_dedup, pii, token_counts, toxicity
+from inkwell.llm.common import bounded_batches, documents, materialize
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -30,6 +30,31 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+#: The key of the registered query; a deployment passes its own secret.
+PII_KEY = b"inkwell registered query key"
+#: The vocabulary's free id ends documents.
+END_OF_DOCUMENT = 50256
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    written = materialize(chat.transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "transcripts")
+    return chat.format_transcripts(written, chat.train(written))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymize(documents(spark, sf_dir, "doc_id", "text"), PII_KEY).select("doc_id", "pii.*")
+    of_kind = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [of_kind(kind) for kind in pii.KINDS]
+    return found.select("doc_id", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_found"), *counts, "text", "spans")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    blocks = materialize(token_counts.write_stream(docs, VOCABULARY, PATTERN, END_OF_DOCUMENT), "tokens")
+    return token_counts.documents_of(token_counts.count(blocks, END_OF_DOCUMENT))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(documents(spark, sf_dir))
 
@@ -40,10 +65,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_toxicity": op4_toxicity,
+    "op5_chat": op5_chat,
+    "op6_pii": op6_pii,
     "op7_fingerprints": op7_fingerprints,
     "op10_line_dedup": op10_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_token_counts": op9_token_counts,
 }
 
 #: Words as the operator takes them: A-Z lowered, then runs of digits, a-z and characters beyond ASCII.
