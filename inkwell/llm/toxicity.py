@@ -25,65 +25,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import slices, text_bytes
+from inkwell.llm.words import BASE, mix, word_hashes
 
 BITS = 20
 #: Rows and bytes of text that training looks at, at most; passes over them; FTRL's alpha, beta, L1, L2.
 SAMPLE_ROWS, SAMPLE_BYTES, PASSES, ALPHA, BETA, L1, L2 = 20_000, 256 << 20, 3, 1.0, 1.0, 3.0, 0.1
 
-_FOLD = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
-_M = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_M, -1, 1 << 64)
 _SALTS = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 
 
-class Powers:
-    """Powers of the hash's base and of its inverse, grown as texts need."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << n.bit_length()
-            steps = np.full(size, _M, np.uint64), np.full(size, _INVERSE, np.uint64)
-            for s in steps:
-                s[0] = 1
-            self.up, self.down = (np.cumprod(s) for s in steps)
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = Powers()
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(31))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
 def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts laid out in ``data``: the text and place of each feature occurrence, and the words of each text."""
     n_texts = len(offsets) - 1
-    # A space after each text keeps the last word of one from the first of the next.
-    lengths = np.diff(offsets)
-    spaced = np.full(len(data) + n_texts, 32, np.uint8)
-    where = np.arange(len(data)) + np.repeat(np.arange(n_texts), lengths)
-    spaced[where] = _FOLD[data]
-    starts = offsets[:-1] + np.arange(n_texts)
-    word = spaced != 32
-    edge = np.diff(np.concatenate([[0], word.view(np.int8), [0]]))
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _POWERS.to(len(spaced) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spaced * up[: len(spaced)], dtype=np.uint64)])
-    h = _mix((sums[end] - sums[begin]) * down[begin])
-    text = np.searchsorted(starts, begin, side="right") - 1
+    h, text = word_hashes(data, offsets)
     places, owners = [h + _SALTS[0]], [text]
     for gap in (1, 2, 3):
         if len(h) > gap:
             same = text[gap:] == text[:-gap]
-            places.append((h[:-gap] * np.uint64(3) + _mix(h[gap:] + _SALTS[gap]))[same])
+            places.append((h[:-gap] * np.uint64(3) + mix(h[gap:] + _SALTS[gap]))[same])
             owners.append(text[:-gap][same])
-    place = _mix(np.concatenate(places) * np.uint64(_M)) >> np.uint64(64 - bits)
+    place = mix(np.concatenate(places) * np.uint64(BASE)) >> np.uint64(64 - bits)
     return np.concatenate(owners), place.astype(np.int64), np.bincount(text, minlength=n_texts)
 
 
