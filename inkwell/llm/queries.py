@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, chat, decontamination, fingerprints, line_dedup, near_dedup, pii, token_counts, toxicity
+from inkwell.llm import bpe, chat, decontamination, fingerprints, line_dedup, near_dedup, pii, suffix_dedup, token_counts, toxicity
 from inkwell.llm.common import bounded_batches, documents, materialize
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -22,6 +22,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), VOCABULARY, PATTERN)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.deduplicate(documents(spark, sf_dir, "doc_id", "text"))
+    removed = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]), F.lit(0))
+    return kept.select(F.col("id").alias("doc_id"), "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
@@ -68,6 +74,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_near_dedup": op2_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_chat": op5_chat,
