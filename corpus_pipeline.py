@@ -1,10 +1,54 @@
-"""The corpus pipeline: documents through toxicity, line dedup, near-dedup, decontamination and BPE encoding."""
+"""The corpus pipeline: documents through toxicity, line dedup, near-dedup, decontamination and BPE encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. All but the last return the
+columns of ``documents``; the last returns the digests of the encoded texts.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from inkwell.llm import bpe, decontamination, line_dedup, near_dedup, toxicity
+from inkwell.llm.common import bounded_batches
+from inkwell.llm.queries import PATTERN, VOCABULARY
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.3 or more go."""
+    bounded_batches(spark)
+    return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on over a tenth of their source's documents go; the documents stay."""
+    return line_dedup.drop_lines(docs)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays, that of the least id."""
+    bounded_batches(spark)
+    return near_dedup.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    bounded_batches(spark)
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the encoded and decoded texts."""
+    bounded_batches(spark)
+    return bpe.digests(docs, VOCABULARY, PATTERN)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("near_dedup", drop_copies),
+    ("decontamination", drop_contaminated),
+    ("byte_bpe", encode),
+]
 
 #: A trained classifier, near-duplicate alignment and BPE have no SQL; tests/llm compares with a brute-force version.
 ORACLE_SQL = None
