@@ -55,7 +55,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, *, base: DataFrame | None = Non
             ends = np.array([index.get_indexer(links.src), index.get_indexer(links.dst)])
             return pd.DataFrame({"path": names.dst.to_numpy(), "rank": _power(ends, len(index), weight, damping, iterations)})
 
-        return both.groupBy(F.lit(0)).applyInPandas(whole, "path string, rank double")
+        return both.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(whole, "path string, rank double")
     total = start.agg(F.sum("weight")).first()[0] or 1.0
     degree = live.groupBy("src").agg(F.count("*").alias("out"))
     state = cut(start.select("path", (F.col("weight") / total).alias("base")).join(degree.withColumnRenamed("src", "path"), "path", "left").withColumn("rank", F.col("base")))
