@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).select(F.col(doc).alias("k"), F.col(label).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("k"), "k", "y").limit(sample_rows)
     rows = docs.select(F.col(doc).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), F.col("id") == F.col("k"))
-    rows = rows.select(F.xxhash64("k", "t").alias("h"), "t", "y").coalesce(1)
+    rows = rows.select(F.xxhash64("k", "t").alias("h"), "t", "y").repartition(1)
 
     def fitted(batches):
         parts, rows_left, bytes_left = [], sample_rows, sample_bytes
