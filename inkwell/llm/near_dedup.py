@@ -9,14 +9,17 @@ subsequence, found by a bit-parallel alignment inside the band that the threshol
 it is the Jaccard likeness of the shingles; moved passages count as changes. The threshold is 0.8.
 
 Steps: (1) one scan gives each row its word key and bands; rows of one key are copies, and a class of copies goes on as
-one. (2) Keys that share a band make a bucket; every member is compared with the bucket's least key, so a bucket of n
-gives n - 1 candidates, and the same ones in all bands. (3) Accepted pairs are joined to components by repeated least
-labels and pointer jumping. (4) While a bucket still holds several components, one member of each, chosen anew in each
-round, is compared with one of the bucket's leading component; rounds go on until one links nothing. No bucket is
-dropped or capped, no group is gathered in one task.
+one node. (2) Nodes that share a band, or two bands a fixed step apart, make a bucket; every member is compared with the
+bucket's least node, so a bucket of n gives n - 1 candidates, and a cluster the same ones in all of its buckets. Buckets
+of two bands part what a passage common to many texts brings together in one. (3) Candidates that share fewer than
+``AGREE`` bands go: two texts at the threshold share about half of them, and fewer than three with chance 1e-5. (4) The
+texts of the others are aligned; accepted pairs are joined to components by repeated least labels and pointer jumping.
+(5) In a bucket that still holds several components, a member of each is compared with one of the largest there, members
+chosen anew in each round; rounds go on until one links nothing. No bucket is dropped or capped, and none is gathered in
+one task.
 
 Defined cases: null and empty texts are nobody's copies; texts without words are copies if equal; a null id is an id
-that sorts first; repeated rows are copies of each other; an empty table has no rows; other columns pass through.
+that sorts first; nodes are 64-bit hashes of 128-bit keys; repeated rows are copies of each other; an empty table has no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -32,7 +35,9 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import forget, materialize, slices, text_bytes
 from inkwell.llm.words import mix, word_hashes
 
-WORDS, SKETCHES, PICK, THRESHOLD = 5, 16, 2, 0.8
+WORDS, SKETCHES, PICK, AGREE, THRESHOLD = 5, 24, 3, 3, 0.8
+#: Steps between the two bands of a bucket.
+STEPS = (1, 7)
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -176,13 +181,49 @@ def _alike(a: str, b: str):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of keys whose texts are alike."""
-    left = texts.select(F.col("key").alias("ka"), F.col("text").alias("ta"))
-    right = texts.select(F.col("key").alias("kb"), F.col("text").alias("tb"))
-    both = pairs.join(left, F.col("a") == F.col("ka")).join(right, F.col("b") == F.col("kb"))
+    """Pairs (a, b) of nodes whose texts are alike."""
+    left = texts.select(F.col("node").alias("na"), F.col("text").alias("ta"))
+    right = texts.select(F.col("node").alias("nb"), F.col("text").alias("tb"))
+    both = pairs.join(left, F.col("a") == F.col("na")).join(right, F.col("b") == F.col("nb"))
     return both.where(_alike("ta", "tb") > 0).select("a", "b")
 
 
+def buckets(reps: DataFrame) -> DataFrame:
+    """(bucket, node, lead) of the buckets of several nodes; lead is the bucket's least node."""
+    n, bands = F.size("bands"), F.col("bands")
+    steps = [F.transform(F.sequence(F.lit(0), n - 1), _pair_of(bands, n, step)) for step in STEPS]
+    placed = reps.where(n > 0).select("node", F.explode(F.concat(bands, *steps)).alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select(F.col("bucket").alias("k"), "lead")
+    return placed.join(shared, F.col("bucket") == F.col("k")).select("bucket", "node", "lead")
+
+
+def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share enough bands."""
+    left = reps.select(F.col("node").alias("na"), F.col("bands").alias("ba"))
+    right = reps.select(F.col("node").alias("nb"), F.col("bands").alias("bb"))
+    both = pairs.join(left, F.col("a") == F.col("na")).join(right, F.col("b") == F.col("nb"))
+    return both.where(F.size(F.array_intersect("ba", "bb")) >= AGREE).select("a", "b")
+
+
+def across(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) in buckets of several components: a member of each, and one of the component with most members there.
+
+    Members are chosen by least value under a mask of turn and bucket, which a number's aggregate can do.
+    """
+    named = members.join(labels, F.col("node") == F.col("u"), "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(F.col("bucket").alias("k"))
+    mask = F.xxhash64(F.lit(turn), F.col("bucket"))
+    chosen = named.join(mixed, F.col("bucket") == F.col("k")).groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(mask)).alias("m"))
+    chosen = chosen.select("bucket", "label", "n", F.col("m").bitwiseXOR(mask).alias("node"))
+    front = chosen.groupBy(F.col("bucket").alias("k")).agg(F.max(F.struct("n", "label", "node")).alias("f"))
+    pairs = chosen.join(front, F.col("bucket") == F.col("k")).where(F.col("label") != F.col("f.label"))
+    return pairs.select(F.least("node", "f.node").alias("a"), F.greatest("node", "f.node").alias("b")).distinct()
+
+
+def _pair_of(bands, n, step: int):
+    return lambda i: F.xxhash64(F.lit(step), F.get(bands, i), F.get(bands, (i + step) % n))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Per node of the edges (a, b): the least node of its component."""
     both = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")), "edges")
@@ -199,46 +240,50 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("u", "label")
 
 
+def _texts(base: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, text) of the nodes of the pairs."""
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = reps.join(involved, "node", "left_semi").select(F.col("first").alias("id"), "key", "node")
+    texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).where(_key("text") == F.col("key")).select("node", "text")
+    return materialize(texts.dropDuplicates(["node"]), "texts")
+
+
 def classes(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc id, key, and class: the least id of its class, with the key that this id has there (``keeper``)."""
+    """Per row: doc id, key, and class: the least id of its class, the node that names it (``keeper``), and whether the key is that node's (``kept``)."""
     base = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
     rows = materialize(base.select("doc_id", _keyed("text").alias("k")).select("doc_id", "k.*"), "keys")
-    reps = rows.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("first"), F.first("bands").alias("bands"))
-    reps = materialize(reps.select("key", "first", "bands"), "reps")
-    placed = reps.select("key", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead <> last")
-    members = materialize(placed.join(shared.select(F.col("bucket").alias("b"), "lead"), F.col("bucket") == F.col("b")).select("bucket", "key", "lead"), "members")
-    involved = reps.join(members.select("key").distinct(), "key", "left_semi").select(F.col("first.doc_id").alias("id"), "key")
-    texts = base.join(involved, F.col("doc_id").eqNullSafe(F.col("id"))).where(_key("text") == F.col("key")).select("key", "text")
-    texts = materialize(texts.dropDuplicates(["key"]), "texts")
-    pairs = members.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
-    edges = materialize(_verified(pairs, texts), "links")
-    labels, turn = components(edges), 0
+    # Grouped by what is fixed for a key too, so that the aggregates are numbers and the aggregation hashes.
+    reps = rows.where("key is not null").groupBy("key", "bands").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
+    reps = materialize(reps.select(F.xxhash64("key").alias("node"), "key", "bands", F.when(~F.col("unnamed"), F.col("least")).alias("first")), "reps")
+    members = materialize(buckets(reps), "members")
+    first = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    tried = materialize(agreeing(first, reps), "pairs")
+    edges, turn = materialize(_verified(tried, _texts(base, reps, tried)), "links"), 0
+    labels = components(edges)
     while True:
         turn += 1
-        named = members.join(labels, F.col("key") == F.col("u"), "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
-        mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct(F.xxhash64(F.lit(turn), F.col("label")).alias("h"), "label")).alias("front"))
-        mixed = mixed.where("x <> y").select(F.col("bucket").alias("b"), "front.label")
-        chosen = named.groupBy("bucket", "label").agg(F.min(F.struct(F.xxhash64(F.lit(turn), F.col("key")).alias("h"), "key")).alias("c")).select("bucket", "label", "c.key")
-        open_ = chosen.join(mixed.select("b", F.col("label").alias("front")), F.col("bucket") == F.col("b"))
-        front = open_.where("label = front").select(F.col("bucket").alias("b2"), F.col("key").alias("fk"))
-        pairs = open_.where("label <> front").join(front, F.col("bucket") == F.col("b2")).select(F.least("key", "fk").alias("a"), F.greatest("key", "fk").alias("b")).distinct()
-        more = materialize(_verified(pairs, texts), "links")
+        more = materialize(agreeing(across(members, labels, turn), reps).join(tried, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             break
-        edges = materialize(edges.union(more).distinct(), "links")
+        found = materialize(_verified(more, _texts(base, reps, more)), "links")
+        if found.isEmpty():
+            break
+        edges, tried = edges.union(found), tried.union(more)
         labels = components(edges)
-    named = reps.join(labels, F.col("key") == F.col("u"), "left").select("key", "first", F.coalesce("label", "key").alias("label"))
-    heads = named.groupBy("label").agg(F.min(F.struct("first", "key")).alias("head"))
-    found = named.join(heads, "label").select(F.col("key").alias("k"), F.col("head.first.doc_id").alias("class_id"), F.col("head.key").alias("keeper"))
+    named = reps.join(labels, F.col("node") == F.col("u"), "left").select("key", "node", "first", F.coalesce("label", "node").alias("label"))
+    heads = named.groupBy("label").agg(F.min("first").alias("least"), F.max(F.col("first").isNull()).alias("unnamed"))
+    heads = heads.select(F.col("label").alias("l"), F.when(~F.col("unnamed"), F.col("least")).alias("class_id"))
+    named = named.join(heads, F.col("label") == F.col("l"))
+    keeper = named.where(F.col("first").eqNullSafe(F.col("class_id"))).groupBy(F.col("label").alias("h")).agg(F.min("node").alias("keeper"))
+    found = named.join(keeper, F.col("label") == F.col("h")).select(F.col("key").alias("k"), "class_id", "keeper", (F.col("node") == F.col("keeper")).alias("kept"))
     out = rows.select("doc_id", "key").join(found, F.col("key") == F.col("k"), "left")
-    return materialize(out.select("doc_id", "key", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "keeper"), "classes")
+    return materialize(out.select("doc_id", "key", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "keeper", "kept"), "classes")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """Per row: doc_id, class_id (the least id of its class) and the rows of the class."""
     own = classes(docs, **options)
-    # A class is named by its keeper's key, as ids may repeat; texts that are nobody's copies stand alone.
+    # A class is named by its keeper, as ids may repeat; texts that are nobody's copies stand alone.
     sizes = own.where("keeper is not null").groupBy("keeper").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("keeper", "k")
     joined = own.join(sizes, F.col("keeper") == F.col("k"), "left")
     return joined.select("doc_id", "class_id", F.coalesce("n", F.lit(1)).cast("long").alias("class_size"))
@@ -247,7 +292,7 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 def keep_one(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each class: that of least id; all columns kept."""
     own = classes(docs, doc=doc, text=text)
-    stays = (F.col("key") == F.col("keeper")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    stays = F.col("kept") & F.col("doc_id").eqNullSafe(F.col("class_id"))
     gone = own.where("keeper is not null").where(~stays).select(F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key")).distinct()
     keyed = docs.withColumn("__near_key", _key(text))
     left = keyed.join(gone, F.col(doc).eqNullSafe(F.col("__gone_id")) & (F.col("__near_key") == F.col("__gone_key")), "left_anti")
