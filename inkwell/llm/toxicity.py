@@ -106,7 +106,8 @@ def score(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: floa
         owner, place = owner[hit], place[hit]
         key, count = np.unique(owner << bits | place, return_counts=True)
         total = np.bincount(key >> bits, weights[key & ((1 << bits) - 1)] * np.log2(1.0 + count), b - a)
-        out[a:b] = 1.0 / (1.0 + np.exp(-np.clip(bias + total * scale(words), -700, 35)))
+        with np.errstate(over="ignore"):
+            out[a:b] = 1.0 / (1.0 + np.exp(-(bias + total * scale(words))))
     return out
 
 
