@@ -27,6 +27,8 @@ columns are ignored. Memory is that of a run or of a reducer's share; the number
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -34,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import bounded_batches, materialize, ranges, text_bytes
+from inkwell.llm.common import bounded_batches, forget, materialize, ranges, text_bytes
 from inkwell.llm.words import mix
 
 LENGTH, ANCHOR = 50, 20
@@ -244,8 +246,10 @@ def _batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns, schema=schema)
 
 
-RUNS = "run long, ids array<long>, ends array<long>, text binary"
-_RUNS = pa.schema([("run", pa.int64()), ("ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("text", pa.binary())])
+RUNS = "run long, ids array<long>, ends array<long>, text binary, sample array<long>"
+_RUNS = pa.schema([("run", pa.int64()), ("ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("text", pa.binary()), ("sample", pa.list_(pa.int64()))])
+#: Places of a run whose prefixes tell where to cut the order.
+SAMPLE = 64
 
 
 def pack(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
@@ -257,7 +261,11 @@ def pack(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
 
         def run():
             ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-            return _batch(_RUNS, run=[part << 32 | k], ids=[ids], ends=[ends], text=[_zip(b"".join(texts))])
+            whole = b"".join(texts)
+            # Anchors fall on places by their hash alone, so prefixes at even places are spread as those at anchors.
+            places = np.unique(np.linspace(0, max(0, len(whole) - 6), SAMPLE).astype(np.int64)) if len(whole) >= 6 else []
+            sample = [int.from_bytes(whole[p : p + 6], "big") for p in places]
+            return _batch(_RUNS, run=[part << 32 | k], ids=[ids], ends=[ends], text=[_zip(whole)], sample=[sample])
 
         for b in batches:
             data, at = text_bytes(b["text"])
@@ -395,22 +403,6 @@ def _sort(splitters: list[int]):
     return sorted_
 
 
-def _sample(per_run: int = 64):
-    """Prefix numbers of some shared anchors of each run, for the splitters."""
-    schema = pa.schema([("x", pa.int64())])
-
-    def sampled(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                data, _, ends = _unpack(b, i)
-                at, first, last = _shared_anchors(data, ends, b["told"][i].as_py() or [])
-                if len(at):
-                    pick = np.linspace(0, len(at) - 1, min(per_run, len(at))).astype(np.int64)
-                    yield _batch(schema, x=prefix_number(records(data, at[pick], first[pick], last[pick])))
-
-    return sampled
-
-
 FOUND = "run long, record binary, start binary, stop binary, least binary"
 _FOUND = pa.schema([("run", pa.int64()), ("record", pa.binary()), ("start", pa.binary()), ("stop", pa.binary()), ("least", pa.binary())])
 
@@ -568,6 +560,7 @@ def _mark(batches):
 
 def _free(spark) -> None:
     """Let Spark delete the shuffle files of finished steps."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -582,15 +575,16 @@ def deduplicate(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", run
     told = offered.groupBy("share").applyInArrow(_answer, PART).groupBy("run").agg(F.collect_list("data").alias("told"))
     told = materialize(told.withColumnRenamed("run", "r"), "told")
     _free(spark)
-    known = runs.join(told, F.col("run") == F.col("r"), "left").drop("r")
     cuts: list[int] = []
     if shares > 1:
         points = [k / shares for k in range(1, shares)]
-        cuts = sorted(set(known.mapInArrow(_sample(), "x long").agg(F.percentile_approx("x", points, 100_000)).first()[0] or []))
+        cuts = sorted(set(runs.select(F.explode("sample").alias("x")).agg(F.percentile_approx("x", points, 100_000)).first()[0] or []))
+    known = runs.drop("sample").join(told, F.col("run") == F.col("r"), "left").drop("r")
     ordered = materialize(known.mapInArrow(_sort(cuts), SORTED), "sorted")
     _free(spark)
     found = ordered.groupBy("share").applyInArrow(_merge, FOUND)
     found = found.groupBy("run").agg(F.collect_list(F.struct("record", "start", "stop", "least")).alias("found"))
     found = materialize(found.withColumnRenamed("run", "f"), "found")
+    forget(ordered)
     _free(spark)
     return known.join(found, F.col("run") == F.col("f"), "left").drop("f").mapInArrow(_mark, RESULT)
