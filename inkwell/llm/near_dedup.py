@@ -159,13 +159,17 @@ def _key_arrow(column: pa.Array) -> pa.Array:
 
 
 def _alike_arrow(a: pa.Array, b: pa.Array) -> pa.Array:
-    sides = []
-    for column in (a, b):
-        data, offsets = text_bytes(pc.utf8_lower(column))
-        h, text = word_hashes(data, offsets)
-        at = np.searchsorted(text, np.arange(len(column) + 1))
-        sides.append([shingles(h[at[i] : at[i + 1]]) for i in range(len(column))])
-    return pa.array([likeness(x, y) for x, y in zip(*sides, strict=True)], pa.float64())
+    sides = [text_bytes(pc.utf8_lower(column)) for column in (a, b)]
+    out: list[float] = []
+    # Word hashes take some fifty bytes for each of the text, so few texts at a time.
+    for i, j in slices(sides[0][1] + sides[1][1], 1 << 19):
+        own = []
+        for data, at in sides:
+            h, text = word_hashes(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            cut = np.searchsorted(text, np.arange(j - i + 1))
+            own.append([shingles(h[cut[k] : cut[k + 1]]) for k in range(j - i)])
+        out += [likeness(x, y) for x, y in zip(*own, strict=True)]
+    return pa.array(out, pa.float64())
 
 
 def _keyed(column: str):
