@@ -63,7 +63,7 @@ def forget(df: DataFrame) -> None:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Keep the Arrow batches sent to Python workers small whatever the texts' lengths."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "16m")):
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")):
         try:
             spark.conf.set(key, value)
         except Exception:  # noqa: BLE001  a setting that this Spark does not have

@@ -81,18 +81,17 @@ class Ftrl:
 
 def fit(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, bits: int = BITS, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, float]:
     """Places and weights that aren't zero, and the bias. Examples come in the order given."""
-    model, examples = Ftrl(bits), []
-    for a, b in slices(offsets, 1 << 20):
-        owner, place, words = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], bits)
-        key, count = np.unique(owner << bits | place, return_counts=True)
-        by = np.searchsorted(key >> bits, np.arange(b - a + 1))
-        mask, size = (1 << bits) - 1, scale(words)
-        for i in range(b - a):
-            part = slice(by[i], by[i + 1])
-            examples.append(((key[part] & mask).astype(np.int32), (np.log2(1.0 + count[part]) * size[i]).astype(np.float32)))
+    model, mask = Ftrl(bits), (1 << bits) - 1
     for _ in range(passes):
-        for (places, values), label in zip(examples, labels, strict=True):
-            model.learn(places, values.astype(np.float64), int(label))
+        # Features are made anew in each pass: kept, they would take several times the texts' size.
+        for a, b in slices(offsets, 1 << 19):
+            owner, place, words = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], bits)
+            key, count = np.unique(owner << bits | place, return_counts=True)
+            by = np.searchsorted(key >> bits, np.arange(b - a + 1))
+            value, size = np.log2(1.0 + count), scale(words)
+            for i in range(b - a):
+                part = slice(by[i], by[i + 1])
+                model.learn(key[part] & mask, value[part] * size[i], int(labels[a + i]))
     w = model.weights()
     kept = np.flatnonzero(w)
     return kept, w[kept], float(model.bias)
