@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import bounded_batches, forget, materialize, ranges, text_bytes
+from inkwell.llm.common import bounded_batches, materialize, ranges, text_bytes
 from inkwell.llm.words import mix
 
 LENGTH, ANCHOR = 50, 20
@@ -580,11 +580,9 @@ def deduplicate(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", run
         points = [k / shares for k in range(1, shares)]
         cuts = sorted(set(runs.select(F.explode("sample").alias("x")).agg(F.percentile_approx("x", points, 100_000)).first()[0] or []))
     known = runs.drop("sample").join(told, F.col("run") == F.col("r"), "left").drop("r")
-    ordered = materialize(known.mapInArrow(_sort(cuts), SORTED), "sorted")
-    _free(spark)
+    ordered = known.mapInArrow(_sort(cuts), SORTED)
     found = ordered.groupBy("share").applyInArrow(_merge, FOUND)
     found = found.groupBy("run").agg(F.collect_list(F.struct("record", "start", "stop", "least")).alias("found"))
     found = materialize(found.withColumnRenamed("run", "f"), "found")
-    forget(ordered)
     _free(spark)
     return known.join(found, F.col("run") == F.col("f"), "left").drop("f").mapInArrow(_mark, RESULT)
