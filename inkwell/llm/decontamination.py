@@ -29,7 +29,7 @@ from inkwell.llm.common import text_bytes
 #: Folding of bytes before words are taken.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
-RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start:long, stop:long>>"
+RESULT = "struct<n_words:long, n_hit:long, items:array<string>, spans:array<struct<start:long, stop:long>>>"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -114,7 +114,7 @@ def scanner(benchmark: DataFrame, item: str = "item_id", text: str = "text", win
 
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
 
-    @F.arrow_udf(RESULT_TYPE)
+    @F.arrow_udf(RESULT)
     def scanned(column: pa.Array) -> pa.Array:
         data, at = text_bytes(column)
         raw, out = data.tobytes(), []
@@ -135,9 +135,6 @@ def scanner(benchmark: DataFrame, item: str = "item_id", text: str = "text", win
     return scanned
 
 
-RESULT_TYPE = "struct<" + RESULT.replace(" long", ":long").replace(" array", ":array") + ">"
-
-
 def join(a, b):
     return b if a is None else (b[0], 0, sorted({*a[2], *b[2]}), a[3] + b[3])
 
