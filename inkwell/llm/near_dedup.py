@@ -15,8 +15,11 @@ of two bands part what a passage common to many texts brings together in one. (3
 ``AGREE`` bands go: two texts at the threshold share about half of them, and fewer than three with chance 1e-5. (4) The
 texts of the others are aligned; accepted pairs are joined to components by repeated least labels and pointer jumping.
 (5) In a bucket that still holds several components, a member of each is compared with one of the largest there, members
-chosen anew in each round; rounds go on until one links nothing. No bucket is dropped or capped, and none is gathered in
-one task.
+chosen anew in each round, until a round links nothing. (6) What the rounds leave is settled by all pairs: two nodes of
+different components that share enough bands and whose lengths allow the threshold are aligned, whatever they are to
+their buckets' largest components. So the rounds only save work, and candidates are all pairs that share enough bands.
+The pairs of (6) are at most, over the buckets, the members outside the largest component times all members; big buckets
+are cut in cells by a hash of the node, so that none is one task's. No bucket is dropped or capped.
 
 Defined cases: null and empty texts are nobody's copies; texts without words are copies if equal; a null id is an id
 that sorts first; nodes are 64-bit hashes of 128-bit keys; repeated rows are copies of each other; an empty table has no rows; other columns pass through.
@@ -36,6 +39,8 @@ from inkwell.llm.common import forget, materialize, slices, text_bytes
 from inkwell.llm.words import mix, word_hashes
 
 WORDS, SKETCHES, PICK, AGREE, THRESHOLD = 5, 24, 3, 3, 0.8
+#: Members of a bucket that meet the others in one cell of the last step's join.
+CELL = 512
 #: Steps between the two bands of a bucket.
 STEPS = (1, 7)
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -127,7 +132,7 @@ def likeness(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> floa
     return value if value >= threshold else 0.0
 
 
-_KEYED = pa.struct([("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_KEYED = pa.struct([("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("length", pa.int32())])
 
 
 def keys_of(column: pa.Array, with_bands: bool = True) -> list[dict]:
@@ -140,13 +145,13 @@ def keys_of(column: pa.Array, with_bands: bool = True) -> list[dict]:
         for i in range(b - a):
             own = h[at[i] : at[i + 1]]
             if not raw[a + i]:
-                out.append({"key": None, "bands": []})
+                out.append({"key": None, "bands": [], "length": 0})
             elif not len(own):
-                out.append({"key": hashlib.blake2b(raw[a + i].encode(), digest_size=16, person=b"text").digest(), "bands": []})
+                out.append({"key": hashlib.blake2b(raw[a + i].encode(), digest_size=16, person=b"text").digest(), "bands": [], "length": 0})
             else:
                 s = shingles(own) if with_bands else own[:1]
                 bands = sketch(s).view(np.int64) if with_bands and len(s) > 1 else []
-                out.append({"key": hashlib.blake2b(own.tobytes(), digest_size=16).digest(), "bands": bands})
+                out.append({"key": hashlib.blake2b(own.tobytes(), digest_size=16).digest(), "bands": bands, "length": len(s)})
     return out
 
 
@@ -173,7 +178,7 @@ def _alike_arrow(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def _keyed(column: str):
-    return F.arrow_udf(_keyed_arrow, "struct<key:binary, bands:array<long>>")(F.col(column))
+    return F.arrow_udf(_keyed_arrow, "struct<key:binary, bands:array<long>, length:int>")(F.col(column))
 
 
 def _key(column: str):
@@ -224,6 +229,25 @@ def across(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("node", "f.node").alias("a"), F.greatest("node", "f.node").alias("b")).distinct()
 
 
+def crossing(reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components that share enough bands and whose lengths allow the threshold.
+
+    Members outside a bucket's largest component meet all of the bucket, so the members of one component don't meet.
+    """
+    placed = reps.select("node", "length", F.explode("bands").alias("bucket"))
+    named = placed.join(labels, F.col("node") == F.col("u"), "left").select("bucket", "node", "length", F.coalesce("label", "node").alias("label"))
+    parts = named.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("f"), F.count("*").alias("parts"), F.sum("n").alias("n"))
+    parts = parts.where("parts > 1").select(F.col("bucket").alias("k"), F.col("f.label").alias("front"), F.ceil(F.col("n") / CELL).cast("int").alias("cells"))
+    mixed = materialize(named.join(parts, F.col("bucket") == F.col("k")).select("bucket", "node", "length", "label", "front", "cells"), "mixed")
+    left = mixed.where("label <> front").select("bucket", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("cell"), F.col("node").alias("na"), F.col("label").alias("la"), F.col("length").alias("ma"))
+    right = mixed.select(F.col("bucket").alias("k"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("c"), F.col("node").alias("nb"), F.col("label").alias("lb"), F.col("length").alias("mb"), (F.col("label") == F.col("front")).alias("is_front"))
+    apart = (F.col("la") != F.col("lb")) & (F.col("is_front") | (F.col("la") < F.col("lb")))
+    fits = F.least("ma", "mb") >= F.greatest("ma", "mb") * F.lit(THRESHOLD) - 1e-9
+    both = left.join(right, (F.col("bucket") == F.col("k")) & (F.col("cell") == F.col("c")) & apart & fits)
+    shared = both.groupBy(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).agg(F.count("*").alias("n"))
+    return shared.where(F.col("n") >= AGREE).select("a", "b")
+
+
 def _pair_of(bands, n, step: int):
     return lambda i: F.xxhash64(F.lit(step), F.get(bands, i), F.get(bands, (i + step) % n))
 
@@ -257,8 +281,8 @@ def classes(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> Data
     base = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
     rows = materialize(base.select("doc_id", _keyed("text").alias("k")).select("doc_id", "k.*"), "keys")
     # Grouped by what is fixed for a key too, so that the aggregates are numbers and the aggregation hashes.
-    reps = rows.where("key is not null").groupBy("key", "bands").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
-    reps = materialize(reps.select(F.xxhash64("key").alias("node"), "key", "bands", F.when(~F.col("unnamed"), F.col("least")).alias("first")), "reps")
+    reps = rows.where("key is not null").groupBy("key", "bands", "length").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
+    reps = materialize(reps.select(F.xxhash64("key").alias("node"), "key", "bands", "length", F.when(~F.col("unnamed"), F.col("least")).alias("first")), "reps")
     members = materialize(buckets(reps), "members")
     first = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     tried = materialize(agreeing(first, reps), "pairs")
@@ -274,6 +298,11 @@ def classes(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> Data
             break
         edges, tried = edges.union(found), tried.union(more)
         labels = components(edges)
+    more = materialize(crossing(reps, labels).join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        found = materialize(_verified(more, _texts(base, reps, more)), "links")
+        if not found.isEmpty():
+            labels = components(edges.union(found))
     named = reps.join(labels, F.col("node") == F.col("u"), "left").select("key", "node", "first", F.coalesce("label", "node").alias("label"))
     heads = named.groupBy("label").agg(F.min("first").alias("least"), F.max(F.col("first").isNull()).alias("unnamed"))
     heads = heads.select(F.col("label").alias("l"), F.when(~F.col("unnamed"), F.col("least")).alias("class_id"))

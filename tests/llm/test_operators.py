@@ -143,6 +143,18 @@ def test_near_dedup_finds_all_classes(spark):
     assert sum(r.class_size > 1 for r in got) > 40
 
 
+def test_near_dedup_settles_all_pairs_that_rounds_leave(spark, monkeypatch):
+    """Without a link from the comparisons with fronts, the last step alone finds all classes."""
+    monkeypatch.setattr(near_dedup, "agreeing", lambda pairs, reps: pairs.where("false"))
+    monkeypatch.setattr(near_dedup, "CELL", 4)
+    rng = random.Random(5)
+    rows = [(r.doc_id, r.text) for r in docs(spark).limit(30).collect()]
+    rows += [(1000 + 10 * i + k, edited(t, 0.01 * k, rng)) for i, (_, t) in enumerate(rows[:10]) for k in range(8)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == brute_classes(rows)
+    assert sum(r.class_size > 2 for r in got) > 20
+
+
 def test_alignment():
     rng = random.Random(2)
     for _ in range(100):
