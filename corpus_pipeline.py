@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on over a tenth of their source's documents go; the documents stay."""
-    return line_dedup.drop_lines(docs)
+    """Lines on over a tenth of their source's distinct texts go; the documents stay, for near-dedup to keep one of each group."""
+    return line_dedup.drop_lines(docs, once=True)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,9 @@ shuffles, and adaptive execution splits a hot host.
 
 Defined cases: null text is kept null and has no lines; a null host is a site of its own; an empty table gives an empty
 table; repeated rows count as pages of their own; all other columns pass through, whatever their names.
+
+With ``once``, pages of one host with equal texts count as one page, so that a group of copies doesn't lose the lines
+that only it has, before a later step keeps one of them. Texts are told apart by their MD5; null texts are one page.
 """
 
 from __future__ import annotations
@@ -45,21 +48,24 @@ def _key(host: Column, line: Column) -> Column:
     return F.xxhash64(host, F.trim(line))
 
 
-def boilerplate(pages: DataFrame, host: Column, lines: Column, max_ratio: float = 0.1, min_pages: int = 3) -> DataFrame:
-    """Per host with any: the hashes of the lines that go."""
-    base = pages.select(host.alias("host"), lines.alias("lines"))
+def boilerplate(pages: DataFrame, host: Column, lines: Column, max_ratio: float = 0.1, min_pages: int = 3, once: Column | None = None) -> DataFrame:
+    """Per host with any: the hashes of the lines that go. Pages of a host with equal ``once`` count as one."""
+    judged = F.filter(F.coalesce(F.col("lines"), F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+    base = pages.select(host.alias("host"), lines.alias("lines"), F.lit(None).alias("once") if once is None else once.alias("once"))
+    base = base.select("host", "once", F.array_distinct(F.transform(judged, lambda x: _key(F.col("host"), x))).alias("lines"))
+    if once is not None:
+        base = materialize(base.distinct(), "distinct")
     totals = base.groupBy("host").agg(F.count("*").alias("pages"))
-    judged = F.filter(F.coalesce("lines", F.array().cast("array<string>")), lambda x: F.trim(x) != "")
-    each = base.select("host", F.explode(F.array_distinct(F.transform(judged, lambda x: _key(F.col("host"), x)))).alias("line"))
+    each = base.select("host", F.explode("lines").alias("line"))
     seen = each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     seen = seen.withColumnRenamed("host", "h")
     over = seen.join(totals, F.col("h").eqNullSafe(F.col("host"))).where(F.col("n") > F.col("pages") * F.lit(float(max_ratio)))
     return over.groupBy("host").agg(F.collect_list("line").alias("bad"))
 
 
-def with_boilerplate(pages: DataFrame, host: Column, lines: Column, max_ratio: float = 0.1, min_pages: int = 3, broadcast_bytes: int = 8 << 20) -> DataFrame:
+def with_boilerplate(pages: DataFrame, host: Column, lines: Column, max_ratio: float = 0.1, min_pages: int = 3, broadcast_bytes: int = 8 << 20, once: Column | None = None) -> DataFrame:
     """``pages`` with two more columns: the host, and the hashes of its lines that go (null: none)."""
-    bad = materialize(boilerplate(pages, host, lines, max_ratio, min_pages), "boilerplate")
+    bad = materialize(boilerplate(pages, host, lines, max_ratio, min_pages, once), "boilerplate")
     size = bad.agg(F.sum(8 * F.size("bad") + 16 + F.coalesce(F.octet_length(F.col("host").cast("string")), F.lit(0)))).first()[0] or 0
     bad = bad.select(F.col("host").alias(_HOST), F.col("bad").alias(_BAD))
     left = pages.withColumn(_LINE, host)
@@ -74,10 +80,12 @@ def kept(lines: Column) -> Column:
     return F.when(bad.isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(bad, _key(host, x))))
 
 
-def drop_lines(docs: DataFrame, *, host: str = "source", text: str = "text", n_chars: str | None = "n_chars", max_ratio: float = 0.1, min_pages: int = 3) -> DataFrame:
-    """``docs`` with the boilerplate lines of each host taken out of the text; all columns kept, n_chars recounted."""
+def drop_lines(docs: DataFrame, *, host: str = "source", text: str = "text", n_chars: str | None = "n_chars", max_ratio: float = 0.1, min_pages: int = 3, once: bool = False) -> DataFrame:
+    """``docs`` with the boilerplate lines of each host taken out of the text; all columns kept, n_chars recounted.
+
+    With ``once``, copies of a text count as one page of their host."""
     lines = F.split(F.col(text), "\n")
-    judged = with_boilerplate(docs, F.col(host), lines, max_ratio, min_pages)
+    judged = with_boilerplate(docs, F.col(host), lines, max_ratio, min_pages, once=F.md5(text) if once else None)
     new = F.array_join(kept(lines), "\n")
     out = judged.withColumn(text, F.when(F.col(text).isNotNull(), new)).drop(_HOST, _BAD)
     if n_chars and n_chars in docs.columns:

@@ -55,3 +55,13 @@ def test_stages_take_odd_and_empty_tables(spark):
             out = stage(spark, df, SF)
             assert out.columns == df.columns and out.count() <= df.count(), name
         assert corpus_pipeline.STAGES[-1][1](spark, df, SF).count() == df.count()
+
+
+def test_a_large_group_of_copies_keeps_one_text(spark):
+    """A group of exact copies with over a tenth of a source leaves one document, with its text."""
+    copy = "\n".join(f"line {k} of the copied text has these words" for k in range(8))
+    rows = [(i, copy if i < 10 else "Menu\n" + " ".join(f"w{i}x{j}" for j in range(30)), "src") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    lined = corpus_pipeline.drop_lines(spark, df, SF)
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_copies(spark, lined, SF).collect()}
+    assert got == {0: copy} | {i: " ".join(f"w{i}x{j}" for j in range(30)) for i in range(10, 30)}
