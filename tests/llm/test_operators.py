@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 import zlib
 
 import ahocorasick  # noqa: F401  the operators need it
@@ -143,9 +144,9 @@ def test_near_dedup_finds_all_classes(spark):
     assert sum(r.class_size > 1 for r in got) > 40
 
 
-def test_near_dedup_settles_all_pairs_that_rounds_leave(spark, monkeypatch):
-    """Without a link from the comparisons with fronts, the last step alone finds all classes."""
-    monkeypatch.setattr(near_dedup, "agreeing", lambda pairs, reps: pairs.where("false"))
+def test_near_dedup_settles_all_pairs_of_a_bucket(spark, monkeypatch):
+    """Without a link from the first comparisons the blocks alone find all classes, also where a bucket takes several."""
+    monkeypatch.setattr(near_dedup, "first_links", lambda members, texts: members.select(F.col("lead").alias("a"), F.col("node").alias("b")).where("false"))
     monkeypatch.setattr(near_dedup, "CELL", 4)
     rng = random.Random(5)
     rows = [(r.doc_id, r.text) for r in docs(spark).limit(30).collect()]
@@ -155,7 +156,48 @@ def test_near_dedup_settles_all_pairs_that_rounds_leave(spark, monkeypatch):
     assert sum(r.class_size > 2 for r in got) > 20
 
 
-def test_alignment():
+def test_near_dedup_recall_by_another_likeness(spark):
+    """Pairs of like texts by Jaccard over plain sets of five-word shingles, all pairs through an inverted index."""
+    table = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in table.collect()]
+    sets, often, holders = {}, collections.Counter(), collections.defaultdict(list)
+    for i, t in rows:
+        words = regex.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+        sets[i] = {xxhash.xxh64_intdigest(" ".join(words[k : k + 5])) for k in range(max(1, len(words) - 4))} if words else set()
+        often.update(sets[i])
+    for i, own in sets.items():
+        # Two like texts share one of the rarest fifth of each (and one more).
+        for s in sorted(own, key=lambda s: (often[s], s))[: len(own) // 5 + 1]:
+            holders[s].append(i)
+    like, seen = 0, set()
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(table).collect()}
+    found = 0
+    for group in holders.values():
+        for k, i in enumerate(group):
+            for j in group[:k]:
+                if (i, j) not in seen:
+                    seen.add((i, j))
+                    if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                        like += 1
+                        found += got[i] == got[j]
+    assert like > 1000 and found >= 0.995 * like, (found, like)
+
+
+def test_alignment_of_long_repetitive_texts_is_bounded():
+    line = [f"w{k}" for k in range(12)]
+    a, b = line * 14_000, line * 13_900
+    for k in range(5, len(b), 20_000):
+        b[k] = "other"
+    own = []
+    for words in (a, b):
+        h, _ = word_hashes(*text_bytes(pa.array([" ".join(words)])))
+        own.append(near_dedup.shingles(h))
+    began = time.process_time()
+    assert near_dedup.likeness(*own) > 0.95
+    assert time.process_time() - began < 4
+
+
+def test_alignment(monkeypatch):
     rng = random.Random(2)
     for _ in range(100):
         a = np.array(rng.choices(range(6), k=rng.randint(1, 30)), np.uint64)
@@ -165,6 +207,13 @@ def test_alignment():
             for j in range(len(b)):
                 table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
         assert near_dedup.aligned(a, b, 40) == table[-1, -1]
+        band = rng.randint(0, 12)
+        table[:] = 0
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1, j + 1] = max(table[i, j + 1], table[i + 1, j], table[i, j] + int(a[i] == b[j] and abs(i - j) <= band))
+        monkeypatch.setattr(near_dedup, "_OFTEN", rng.choice([1, 64]))
+        assert near_dedup.aligned(a, b, band) >= table[-1, -1] and near_dedup._common(a, b, band) == table[-1, -1]
 
 
 def test_near_dedup_edges(spark):
