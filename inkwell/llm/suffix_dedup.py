@@ -21,8 +21,10 @@ Steps, all over runs (stretches of whole documents, ``RUN_BYTES`` or one documen
  5. Runs mark the bytes of these windows in the documents with a greater id.
 
 Defined cases: null is the empty text; a null id sorts before all others; rows with one id never remove from each other,
-so repeated rows stay unless a smaller id has the text; texts under 50 bytes stay; an empty table gives no rows; other
-columns are ignored. Memory is that of a run or of a reducer's share; the number of shares follows the input.
+so repeated rows stay unless a smaller id has the text; ids that are no integers are numbered in their order first; texts
+under 50 bytes stay; an empty table gives no rows; other
+columns are ignored. Memory is that of a run or of a reducer's share; the number of shares
+follows the input, and their borders are whole anchors of 20 bytes.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from inkwell.llm.common import bounded_batches, materialize, ranges, text_bytes
 from inkwell.llm.words import mix
@@ -75,8 +78,22 @@ def _sliding(x: np.ndarray, width: int, take) -> np.ndarray:
     return take(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+#: Windows of a run that are worked on together, as hashes take many times the text's size.
+PIECE = 1 << 19
+
+
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, place, first and last window start of each anchor; texts end at ``ends``."""
+    """Hash, place, first and last window start of each anchor; texts end at ``ends``. An anchor on a border of pieces has its windows in two parts."""
+    parts = []
+    for a in range(0, max(1, len(data) - LENGTH + 1), PIECE):
+        b = min(len(data), a + PIECE + LENGTH - 1)
+        own = ends[(ends > a) & (ends < b)] - a
+        h, *places = _anchors(data[a:b], np.append(own, b - a))
+        parts.append((h, *(x + a for x in places)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3
     if len(data) < LENGTH:
         return none
@@ -123,15 +140,18 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def records(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The stretch of each anchor's windows as a fixed row of bytes that sorts by the text from the anchor."""
     out = np.zeros((len(at), _WIDTH), np.uint8)
-    after, before = last + LENGTH - at, at - first
-    column = np.arange(LENGTH)
-    place = np.minimum(at[:, None] + column, len(data) - 1)
-    out[:, :LENGTH] = np.where(column < after[:, None], data[place], 0)
-    out[:, LENGTH] = after
-    column = np.arange(LENGTH - ANCHOR)
-    place = np.maximum(at[:, None] - 1 - column, 0)
-    out[:, LENGTH + 1 : -1] = np.where(column < before[:, None], data[place], 0)
-    out[:, -1] = before + 1
+    for k in range(0, len(at), 1 << 14):
+        part = slice(k, k + (1 << 14))
+        own, here = out[part], at[part]
+        after, before = last[part] + LENGTH - here, here - first[part]
+        column = np.arange(LENGTH)
+        place = np.minimum(here[:, None] + column, len(data) - 1)
+        own[:, :LENGTH] = np.where(column < after[:, None], data[place], 0)
+        own[:, LENGTH] = after
+        column = np.arange(LENGTH - ANCHOR)
+        place = np.maximum(here[:, None] - 1 - column, 0)
+        own[:, LENGTH + 1 : -1] = np.where(column < before[:, None], data[place], 0)
+        own[:, -1] = before + 1
     return out
 
 
@@ -246,10 +266,12 @@ def _batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns, schema=schema)
 
 
-RUNS = "run long, ids array<long>, ends array<long>, text binary, sample array<long>"
-_RUNS = pa.schema([("run", pa.int64()), ("ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("text", pa.binary()), ("sample", pa.list_(pa.int64()))])
-#: Places of a run whose prefixes tell where to cut the order.
-SAMPLE = 64
+RUNS = "run long, ids array<long>, ends array<long>, text binary, sample array<binary>"
+_RUNS = pa.schema([("run", pa.int64()), ("ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("text", pa.binary()), ("sample", pa.list_(pa.binary()))])
+#: Places of a run whose text tells where to cut the order; at most so many of all runs are gathered.
+SAMPLE, SAMPLES = 64, 1 << 20
+#: Shares at most; beyond, a share grows with the input.
+SHARES = 1 << 18
 
 
 def pack(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
@@ -262,9 +284,9 @@ def pack(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
         def run():
             ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
             whole = b"".join(texts)
-            # Anchors fall on places by their hash alone, so prefixes at even places are spread as those at anchors.
-            places = np.unique(np.linspace(0, max(0, len(whole) - 6), SAMPLE).astype(np.int64)) if len(whole) >= 6 else []
-            sample = [int.from_bytes(whole[p : p + 6], "big") for p in places]
+            # Anchors fall on places by their hash alone, so text at even places is spread as that at anchors.
+            places = np.unique(np.linspace(0, len(whole) - ANCHOR, SAMPLE).astype(np.int64)) if len(whole) >= ANCHOR else []
+            sample = [whole[p : p + ANCHOR] for p in places]
             return _batch(_RUNS, run=[part << 32 | k], ids=[ids], ends=[ends], text=[_zip(whole)], sample=[sample])
 
         for b in batches:
@@ -317,8 +339,8 @@ def _offer(shares: int):
                 share = (code >> np.uint64(_HASH_BITS - 24)).astype(np.int64) * shares >> 24
                 cut = np.searchsorted(share, np.arange(shares + 1))
                 del last
-                for s in np.flatnonzero(np.diff(cut)):
-                    yield _batch(_PART, share=[s], run=[b["run"][i].as_py()], data=[planes(code[cut[s] : cut[s + 1]])])
+                used = np.flatnonzero(np.diff(cut))
+                yield _batch(_PART, share=used, run=np.full(len(used), b["run"][i].as_py(), np.int64), data=[planes(code[cut[s] : cut[s + 1]]) for s in used])
 
     return offered
 
@@ -372,19 +394,17 @@ def _order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, first, rows[order[first]]
 
 
-def prefix_number(rows: np.ndarray) -> np.ndarray:
-    """The first six bytes as a number, which splitters cut."""
-    out = np.zeros(len(rows), np.int64)
-    for k in range(6):
-        out = out << 8 | rows[:, k]
-    return out
+def splitters(samples: list[bytes], shares: int) -> np.ndarray:
+    """Anchors that cut the order into at most ``shares`` shares of like size. Records of one anchor are never cut apart."""
+    held = np.sort(np.array(samples, f"S{ANCHOR}"))
+    return np.unique(held[np.arange(1, shares) * len(held) // shares]) if len(held) else held
 
 
-def _sort(splitters: list[int]):
-    """Step 3: front-coded sorted runs, cut at the splitters."""
-    cuts = np.array(splitters, np.int64)
+def _sort(sent):
+    """Step 3: front-coded sorted runs, cut at the splitters of a broadcast."""
 
     def sorted_(batches):
+        cuts = sent.value
         for b in batches:
             for i in range(b.num_rows):
                 data, ids, ends = _unpack(b, i)
@@ -394,11 +414,12 @@ def _sort(splitters: list[int]):
                 order, lead, rows = _order(records(data, at, first, last))
                 owner = ids[np.searchsorted(ends, at, side="right")][order]
                 low, high = np.minimum.reduceat(owner, lead), np.maximum.reduceat(owner, lead)
-                share = np.searchsorted(cuts, prefix_number(rows), side="right")
+                share = np.searchsorted(cuts, np.ascontiguousarray(rows[:, :ANCHOR]).view(f"S{ANCHOR}").ravel(), side="right")
                 edge = np.searchsorted(share, np.arange(len(cuts) + 2))
-                for s in np.flatnonzero(np.diff(edge)):
-                    part = slice(edge[s], edge[s + 1])
-                    yield _batch(_SORTED, share=[s], run=[b["run"][i].as_py()], n=[edge[s + 1] - edge[s]], rows=[_zip(front_code(rows[part]))], low=[planes(low[part])], high=[planes(high[part])], base=[edge[s]])
+                used = np.flatnonzero(np.diff(edge))
+                parts = [slice(edge[s], edge[s + 1]) for s in used]
+                coded = {"rows": [_zip(front_code(rows[p])) for p in parts], "low": [planes(low[p]) for p in parts], "high": [planes(high[p]) for p in parts]}
+                yield _batch(_SORTED, share=used, run=np.full(len(used), b["run"][i].as_py(), np.int64), n=edge[used + 1] - edge[used], base=edge[used], **coded)
 
     return sorted_
 
@@ -407,6 +428,10 @@ FOUND = "run long, record binary, start binary, stop binary, least binary"
 _FOUND = pa.schema([("run", pa.int64()), ("record", pa.binary()), ("start", pa.binary()), ("stop", pa.binary()), ("least", pa.binary())])
 
 
+def window_hash(sums: np.ndarray, power: np.ndarray) -> np.ndarray:
+    return mix(sums * power)
+
+
 def _window_least(rows: np.ndarray, group: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each window of each distinct record: the record, its place there, and the least id that has the window.
 
@@ -424,20 +449,28 @@ def _window_least(rows: np.ndarray, group: np.ndarray, low: np.ndarray) -> tuple
     offset = ranges(np.zeros(len(rows), np.int64), count)
     power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(width, 0x9E3779B97F4A7C15, np.uint64)]))
     sums = np.concatenate([np.zeros((len(rows), 1), np.uint64), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * power[:width], axis=1, dtype=np.uint64)], axis=1)
-    hashed = mix((sums[record, offset + LENGTH] - sums[record, offset]) * power[width - offset])
+    hashed = window_hash(sums[record, offset + LENGTH] - sums[record, offset], power[width - offset])
     slot = group[record] * np.int64(64) + (before[record] - offset)
     order = np.lexsort((hashed, slot))
     s, h = slot[order], hashed[order]
     new = np.concatenate([[True], (s[1:] != s[:-1]) | (h[1:] != h[:-1])])
     first = np.flatnonzero(new)
-    # Equal hashes must be equal bytes.
+    # Equal hashes must be equal bytes; where they are not, the bytes themselves tell the windows apart.
     kept = np.cumsum(new) - 1
     a, b = order, order[first][kept]
+    span = np.arange(LENGTH)
     for at in range(0, len(a), 100_000):
         x, y = a[at : at + 100_000], b[at : at + 100_000]
-        span = np.arange(LENGTH)
         if (flat[record[x][:, None], offset[x][:, None] + span] != flat[record[y][:, None], offset[y][:, None] + span]).any():
-            raise ArithmeticError("two windows of one anchor have one hash")
+            # A byte of 1 ends each, as numpy drops zeros there.
+            whole = np.ones((len(record), LENGTH + 1), np.uint8)
+            whole[:, :LENGTH] = flat[record[:, None], offset[:, None] + span]
+            _, hashed = np.unique(whole.view(f"S{LENGTH + 1}").ravel(), return_inverse=True)
+            order = np.lexsort((hashed, slot))
+            s, h = slot[order], hashed[order]
+            first = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (h[1:] != h[:-1])]))
+            kept = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(order)]])))
+            break
     least = np.empty(len(order), np.int64)
     least[order] = np.minimum.reduceat(low[record[order]], first)[kept]
     return record, offset, least
@@ -565,20 +598,34 @@ def _free(spark) -> None:
 
 
 def deduplicate(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", run_bytes: int = RUN_BYTES, share_bytes: int = SHARE_BYTES) -> DataFrame:
-    """Per row: id, n_bytes, the removed spans (bytes) and the kept bytes."""
+    """Per row: id, n_bytes, the removed spans (bytes) and the kept bytes. Ids may be of any type that has an order."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    runs = materialize(pack(docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text")), run_bytes), "runs")
-    size = runs.select(F.sum(F.element_at("ends", -1))).first()[0] or 0
-    shares = max(1, min(1 << 24, -(-size // share_bytes)))
+    base = docs.select(F.col(doc).alias("id"), F.col(text).alias("text"))
+    kind = base.schema["id"].dataType
+    if isinstance(kind, IntegralType):
+        return _deduplicate(base.withColumn("id", F.col("id").cast("long")), run_bytes, share_bytes).withColumn("id", F.col("id").cast(kind))
+    # Other ids are numbered in their order: by range partitions, sorted, so no task has them all.
+    numbers = materialize(base.select("id").where("id is not null").distinct().orderBy("id").select(F.col("id").alias("name"), F.monotonically_increasing_id().alias("number")), "ids")
+    numbered = base.join(numbers, F.col("id") == F.col("name"), "left").select(F.col("number").alias("id"), "text")
+    return _deduplicate(numbered, run_bytes, share_bytes).join(numbers, F.col("id") == F.col("number"), "left").select(F.col("name").alias("id"), "n_bytes", "spans", "kept")
+
+
+def _deduplicate(base: DataFrame, run_bytes: int, share_bytes: int) -> DataFrame:
+    spark = base.sparkSession
+    runs = materialize(pack(base, run_bytes), "runs")
+    size, count = runs.select(F.sum(F.element_at("ends", -1)), F.count("*")).first()
+    shares = max(1, min(SHARES, -(-(size or 0) // share_bytes)))
     offered = runs.mapInArrow(_offer(shares), PART)
     told = offered.groupBy("share").applyInArrow(_answer, PART).groupBy("run").agg(F.collect_list("data").alias("told"))
     told = materialize(told.withColumnRenamed("run", "r"), "told")
     _free(spark)
-    cuts: list[int] = []
+    samples: list[bytes] = []
     if shares > 1:
-        points = [k / shares for k in range(1, shares)]
-        cuts = sorted(set(runs.select(F.explode("sample").alias("x")).agg(F.percentile_approx("x", points, 100_000)).first()[0] or []))
+        one_in = -(-count * SAMPLE // SAMPLES)
+        some = runs.select("run", F.posexplode("sample").alias("k", "x"))
+        samples = [bytes(r.x) for r in some.where(F.pmod(F.xxhash64("run", "k"), F.lit(one_in)) == 0).select("x").toLocalIterator()]
+    cuts = spark.sparkContext.broadcast(splitters(samples, shares))
     known = runs.drop("sample").join(told, F.col("run") == F.col("r"), "left").drop("r")
     ordered = known.mapInArrow(_sort(cuts), SORTED)
     found = ordered.groupBy("share").applyInArrow(_merge, FOUND)
