@@ -6,8 +6,8 @@ its words joined and framed by single spaces. Every window of ``window`` consecu
 has fewer) is a pattern, framed by spaces as well, so a match begins and ends at words. Each text is scanned once; the
 place of a match among the spaces gives the word numbers, and those map back to character offsets of the original.
 
-Defined cases: a null or wordless text has no words, hits or items; a null or wordless item has no window; items with
-equal windows are all reported; repeated rows give repeated results; an empty benchmark hits nothing; other columns of
+Defined cases: a null or wordless text has no words, hits or items; a null or wordless item has no window; the
+windows of an item without id hit, and name no item; items with equal windows are all reported; repeated rows give repeated results; an empty benchmark hits nothing; other columns of
 either table are ignored.
 
 The patterns are broadcast in parts of at most ``part_bytes`` of item text. A worker holds one part's automaton at a
@@ -48,7 +48,7 @@ def build(items: list[tuple[str, bytes]], window: int) -> ahocorasick.Automaton:
     found: dict[tuple[bytes, ...], set[str]] = {}
     for name, text in items:
         for key in windows_of(text, window):
-            found.setdefault(key, set()).add(name)
+            found.setdefault(key, set()).update([] if name is None else [name])
     automaton = ahocorasick.Automaton()
     for key, names in found.items():
         automaton.add_word((b" " + b" ".join(key) + b" ").decode("latin-1"), (len(key), sorted(names)))
@@ -93,7 +93,7 @@ def scan(text: bytes, automata) -> tuple[int, int, list[str], list[tuple[int, in
 def scanner(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = 10, part_bytes: int = 64 << 20):
     """A function from a text column to a struct column RESULT, with the benchmark's patterns broadcast in parts."""
     spark = benchmark.sparkSession
-    rows = benchmark.select(F.col(item).cast("string").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
+    rows = benchmark.select(F.col(item).cast("string").alias("k"), F.col(text).alias("t")).where("t is not null")
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-size // part_bytes))
     parts = []
