@@ -8,12 +8,13 @@ don't gain by length alone. The score is the logistic function of the bias and t
 Training is FTRL-proximal: each coordinate has its own rate alpha / (beta + sqrt(sum of squared gradients)), and a
 weight stays exactly zero until its accumulated gradient exceeds the L1 bound, so the model is a short list of places
 and weights. Its size has the bound 12 bytes x 2^bits, checked before it is broadcast. Training takes at most
-``sample_rows`` labelled rows, those of least hash of id and text, and runs inside one task on an executor: the bound
-holds at any size of the corpus. Scoring covers all rows and does not shuffle.
+``sample_rows`` labelled rows, those of least hash of id and text, and of these at most ``sample_bytes`` of text in the
+same order, and runs inside one task on an executor: the bounds hold at any size of the corpus. Scoring covers all rows
+and does not shuffle.
 
 Defined cases: a null or wordless text has no features and scores the logistic of the bias, the prior of the training
 labels; null labels are not trained on; without labelled rows nothing is known to be toxic and every score is 0;
-repeated rows are trained on and scored as often as they come; other columns are ignored or passed through.
+rows equal in id, text and label are trained on once and scored as often as they come; other columns are ignored or passed through.
 """
 
 from __future__ import annotations
@@ -140,17 +141,21 @@ def train(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).select(F.col(doc).alias("k"), F.col(label).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("k"), "k", "y").limit(sample_rows)
     rows = docs.select(F.col(doc).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), F.col("id") == F.col("k"))
-    rows = rows.select(F.xxhash64("k", "t").alias("h"), "t", "y").repartition(1)
+    rows = rows.select(F.xxhash64("k", "t").alias("h"), "t", "y")
+    # The bounds act in the order of hashes, on (hash, label, bytes) of at most sample_rows rows, so they choose the same rows on any layout.
+    sizes = rows.groupBy("h", "y").agg(F.max(F.coalesce(F.octet_length("t"), F.lit(0))).alias("n")).orderBy("h", "y").limit(sample_rows).collect()
+    n = int(np.searchsorted(np.cumsum([r.n for r in sizes]), sample_bytes, side="right"))
+    n = max(1, n)
+    if n < len(sizes):
+        rows = rows.where((F.col("h") < sizes[n].h) | ((F.col("h") == sizes[n].h) & (F.col("y") < sizes[n].y)))
+    elif sizes:
+        rows = rows.where((F.col("h") < sizes[-1].h) | ((F.col("h") == sizes[-1].h) & (F.col("y") <= sizes[-1].y)))
+    rows = rows.dropDuplicates(["h", "y"]).repartition(1)
 
     def fitted(batches):
-        parts, rows_left, bytes_left = [], sample_rows, sample_bytes
+        parts = []
         for b in batches:
-            if rows_left <= 0 or bytes_left <= 0:
-                continue
-            b = b.slice(0, rows_left)
             parts.append(pa.table({"h": b["h"], "t": pc.utf8_lower(b["t"].cast(pa.large_string())), "y": b["y"]}))
-            rows_left -= b.num_rows
-            bytes_left -= b["t"].nbytes
         if not parts or not sum(p.num_rows for p in parts):
             yield pa.record_batch({"places": pa.array([b""], pa.binary()), "weights": pa.array([b""], pa.binary()), "bias": pa.array([-1e9])})
             return
