@@ -115,13 +115,19 @@ def turns_of(lines: list[str], states: list[int]) -> list[tuple[str, str]]:
     for line, state in zip(lines, states, strict=True):
         if state % 2 == 0 or not out:
             out.append((ROLES[state // 2], []))
-            line = line[marker(line)[2] :]
+            # A marker of another role than the decoded one is text.
+            _, role, end = marker(line)
+            line = line[end:] if role == ROLES[state // 2] else line
         out[-1][1].append(line)
     return [(role, "\n".join(own).strip("\n")) for role, own in out]
 
 
+#: The delimiters of rendered turns, where a text has them: a blank goes in, so no text can begin or end a turn.
+_FORGED = re.compile(r"<\|(?=im_(?:start|end)\|>)")
+
+
 def render(turns: list[tuple[str, str]]) -> str:
-    return "".join(f"<|im_start|>{role}\n{text}<|im_end|>\n" for role, text in turns)
+    return "".join(f"<|im_start|>{role}\n{_FORGED.sub('<| ', text)}<|im_end|>\n" for role, text in turns)
 
 
 def parse(text: str, model: Hmm) -> list[tuple[str, str]]:
