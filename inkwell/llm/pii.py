@@ -113,11 +113,20 @@ def _card(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _ipv4(text: str, key: bytes, back: bool) -> str | None:
-    octets = [int(x) for x in text.split(".")]
-    if max(octets) > 255:
+    parts = text.split(".")
+    octets = bytes(x if (x := int(p)) < 256 else 0 for p in parts)
+    padded = any(len(p) > 1 and p[0] == "0" for p in parts)
+    # Written without leading zeros, or with three digits each.
+    form = "{:03d}" if padded else "{:d}"
+    if ".".join(map(form.format, octets)) != text:
         return None
-    n = feistel(int.from_bytes(bytes(octets), "big"), 1 << 16, 1 << 16, key, "ipv4", back)
-    return ".".join(map(str, n.to_bytes(4, "big")))
+    n = int.from_bytes(octets, "big")
+    while True:
+        n = feistel(n, 1 << 16, 1 << 16, key, "ipv4", back)
+        # Addresses with an octet below 100 are permuted among themselves, so both forms stay apart and their values linked.
+        new = n.to_bytes(4, "big")
+        if (min(new) < 100) == (min(octets) < 100):
+            return ".".join(map(form.format, new))
 
 
 def _phone(text: str, key: bytes, back: bool) -> str | None:
@@ -151,12 +160,12 @@ def _date(text: str, key: bytes, back: bool) -> str | None:
     if not _FIRST <= day <= _LAST:
         return None
     form = {(0, 1, 2): "%Y-%m-%d", (2, 0, 1): "%m/%d/%Y", (2, 1, 0): f"%d{text[2]}%m{text[2]}%Y"}[order]
-    # Dates written day/month are those that can't be month/day, so they are permuted among themselves.
-    fits = (lambda d: d.day > 12) if text[2] == "/" and order == (2, 1, 0) else (lambda d: True)
-    side, n = 271, day - _FIRST
+    # Days beyond the 12th are permuted among themselves, whatever the form: dates written day/month are those that can't be
+    # month/day, and one day keeps one pseudonym in all forms.
+    late, side, n = datetime.date.fromordinal(day).day > 12, 271, day - _FIRST
     while True:
-        n = feistel(n, side, side, key, "date" + form, back)
-        if n <= _LAST - _FIRST and fits(new := datetime.date.fromordinal(n + _FIRST)):
+        n = feistel(n, side, side, key, "date", back)
+        if n <= _LAST - _FIRST and ((new := datetime.date.fromordinal(n + _FIRST)).day > 12) == late:
             return new.strftime(form)
 
 
