@@ -61,14 +61,25 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(fixed)
 
 
-def bounds(ids: DataFrame, name: str, rows: int = 4000, most: int = 2048) -> list:
-    """Increasing values that cut ``name`` into buckets of about ``rows`` rows; at most ``most`` buckets."""
+def bucketed(df: DataFrame, name: str, rows: int = 4000, most: int = 2048) -> DataFrame:
+    """``df`` with a column ``bucket`` that grows with ``name`` and has about ``rows`` rows a value; null is in the first.
+
+    Values are cut at their quantiles, and parts of over ``rows`` rows once more at their own, so up to most^2 buckets.
+    """
+    ids = df.select(name).where(F.col(name).isNotNull())
     n = ids.count()
-    buckets = max(1, min(most, -(-n // rows)))
-    if buckets == 1:
-        return []
-    cuts = ids.agg(F.percentile_approx(name, [k / buckets for k in range(1, buckets)], 20 * most)).first()[0]
-    return sorted(set(cuts or []))
+    wide = max(1, min(most, -(-n // rows)))
+    quantiles = lambda k: [i / k for i in range(1, k)]
+    place = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(name)))
+    cuts = sorted(set(ids.agg(F.percentile_approx(name, quantiles(wide), 20 * most)).first()[0] or [])) if wide > 1 else []
+    outer = (place(F.array(*[F.lit(c) for c in cuts])) if cuts else F.lit(0)).cast("long")
+    out = df.withColumn("bucket", F.coalesce(F.when(F.col(name).isNotNull(), outer), F.lit(0).cast("long")))
+    if n <= 2 * rows * wide:
+        return out
+    deep = min(most, -(-n // (rows * wide)))
+    inner = out.where(F.col(name).isNotNull()).groupBy("bucket").agg(F.array_sort(F.array_distinct(F.percentile_approx(name, quantiles(deep), 20 * most))).alias("__cuts"))
+    out = out.join(inner, "bucket", "left")
+    return out.withColumn("bucket", F.col("bucket") * most + F.coalesce(F.when(F.col(name).isNotNull(), place(F.col("__cuts"))), F.lit(0))).drop("__cuts")
 
 
 def edited_pairs(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -78,14 +89,13 @@ def edited_pairs(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") ->
     each bucket, and the last of a bucket takes the first of the next bucket that has rows.
     """
     base = docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    cuts = bounds(docs.select(F.col(doc).alias("doc_id")), "doc_id")
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    base = base.withColumn("bucket", F.coalesce(F.when(F.col("doc_id").isNotNull(), bucket), F.lit(0)))
-    used = [r[0] for r in base.select("bucket").distinct().orderBy("bucket").collect()]
-    after = docs.sparkSession.createDataFrame([(a, b) for a, b in zip(used, used[1:] + used[:1], strict=True)], "b int, bucket int")
+    base = bucketed(base, "doc_id")
+    # Bucket numbers alone go over one window: one for thousands of rows.
+    all_ = Window.orderBy("bucket")
+    after = base.select("bucket").distinct().select(F.col("bucket").alias("b"), F.coalesce(F.lead("bucket").over(all_), F.min("bucket").over(all_)).alias("bucket"))
     first = base.groupBy("bucket").agg(F.min(F.struct("doc_id", "text")).alias("head"))
     heads = fingerprint(first.select("bucket", F.col("head.text").alias("head_text")), {"head_print": "head_text"})
-    heads = heads.join(F.broadcast(after), "bucket").select(F.col("b").alias("bucket"), "head_text", "head_print")
+    heads = heads.join(after, "bucket").select(F.col("b").alias("bucket"), "head_text", "head_print")
     w = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     df = base.withColumn("next", F.lead(F.struct("text")).over(w)).join(heads, "bucket", "left")
     size = F.length("text")
