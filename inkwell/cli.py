@@ -119,8 +119,8 @@ def _run(args, spark) -> int:
             output.print_rows((r.asDict() for r in got.toLocalIterator()), args.format, got.columns, width)
 
     if args.command == "sql":
-        if args.statement.count("?") != len(args.params):
-            print(f"inkwell: {args.statement.count('?')} parameter(s) in the statement, {len(args.params)} given", file=sys.stderr)
+        if (asked := tree.placeholders(args.statement)) != len(args.params):
+            print(f"inkwell: {asked} parameter(s) in the statement, {len(args.params)} given", file=sys.stderr)
             return 2
         try:
             rows(tree.sql(args.statement, args.params, args.preset))

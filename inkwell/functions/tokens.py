@@ -144,7 +144,7 @@ def words(text: Column) -> Column:
 #: Scripts written without blanks, as character ranges, with the marks that join their letters. Fixed values.
 UNSPACED = "ก-ฺเ-๛ກ-ໟက-႟ក-៹⺀-⿟々-〇〡-〩〱-〵〸-〻ぁ-ゖ゙-ゟァ-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003134f"
 _RUN = re.compile(f"[{UNSPACED}][{UNSPACED}̀-ͯ︀-️]*")
-_EDGE = "ꟷ"  # stands at the ends of a run, so that phrases don't cross runs
+_EDGE = "ꞏ"  # a letter that no script here uses; stands at the ends of a run, so that phrases don't cross runs
 _COLUMNS = ("title", "summary", "text")
 
 

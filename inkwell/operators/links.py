@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.text import base_key, clean_target, directory, resolve_dots
 
-_WIKI = r"\[\[([^\]\|#]+)(?:#[^\]\|]*)?(?:\|[^\]]*)?\]\]"
-_INLINE = r"\]\(([^)#\s]+\.md)(?:#[^)]*)?\)"
+#: The name in [[name#heading|label]], and a note's path in [label](path.md#heading), which may hold blanks.
+_WIKI = r"\[\[([^\]|#]+)[^\]]*\]\]"
+_INLINE = r"\]\(([^)]+?\.md)(?:#[^)]*)?\)"
 
 
 def extract(notes: DataFrame, path: str = "path", body: str = "body") -> DataFrame:
     """(src, target) of each note, each target once: wiki links and inline links to notes."""
     wiki = F.transform(F.regexp_extract_all(F.col(body), F.lit(_WIKI), 1), lambda t: F.trim(t))
-    inline = F.filter(F.regexp_extract_all(F.col(body), F.lit(_INLINE), 1), lambda t: ~t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"))
+    inline = F.filter(F.transform(F.regexp_extract_all(F.col(body), F.lit(_INLINE), 1), lambda t: F.trim(t)), lambda t: ~t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"))
     targets = F.filter(F.array_union(wiki, inline), lambda t: t != "")
     return notes.select(F.col(path).alias("src"), F.explode(targets).alias("target"))
 

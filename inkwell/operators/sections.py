@@ -1,40 +1,39 @@
-"""Heading outlines and chunks, as windows over lines.
-
-Lines of a note are one group; its size is the note's, which a task reads anyway.
-"""
+"""Heading outlines and chunks, worked out inside each note's row: no exchange."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.functions.text import once
+
 _HEADING = r"^(#{1,6}) +(.*)"
+_HEADS = "array<struct<line:int,before:bigint,text:string>>"
 
 
-def lines(notes: DataFrame, column: str, path: str = "path") -> DataFrame:
-    """(path, line from 1, text, heading): heading is false inside code fences."""
-    each = notes.select(F.col(path).alias("path"), F.posexplode(F.split(F.col(column), "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
-    w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fence = F.col("text").rlike(r"^\s*(```|~~~)").cast("int")
-    return each.withColumn("fences", F.sum(fence).over(w)).withColumn("heading", F.col("text").rlike(_HEADING) & (F.col("fences") % 2 == 0)).drop("fences")
+def headings(lines: Column) -> Column:
+    """A struct of the headings outside code fences (line from 1, characters before it, text), and the number of lines and characters."""
+    start = F.struct(F.lit(0).alias("line"), F.lit(0).cast("long").alias("chars"), F.lit(False).alias("fenced"), F.array().cast(_HEADS).alias("heads"))
 
+    def step(done: Column, x: Column) -> Column:
+        fenced = done["fenced"] != x.rlike(r"^\s*(```|~~~)")
+        own = F.array(F.struct((done["line"] + 1).alias("line"), done["chars"].alias("before"), x.alias("text")))
+        heads = F.when(x.rlike(_HEADING) & ~fenced, F.concat(done["heads"], own)).otherwise(done["heads"])
+        return F.struct((done["line"] + 1).alias("line"), (done["chars"] + F.length(x) + 1).alias("chars"), fenced.alias("fenced"), heads.alias("heads"))
 
-def outline(notes: DataFrame, raw: str = "raw", path: str = "path") -> DataFrame:
-    """(path, idx, level, heading, start_line, end_line, tokens): a section ends before the next heading of any level.
+    return F.aggregate(lines, start, step)
 
-    The headings alone are kept in the second window; lengths come from running sums over lines, so no text is joined.
-    """
-    each = lines(notes, raw, path)
-    w = Window.partitionBy("path").orderBy("line")
-    sums = each.withColumn("chars", F.sum(F.length("text") + 1).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    last = Window.partitionBy("path")
-    sums = sums.withColumn("lines", F.max("line").over(last)).withColumn("all_chars", F.max("chars").over(last)).withColumn("before", F.col("chars") - F.length("text") - 1)
-    heads = sums.where("heading")
-    end = F.coalesce(F.lead("line").over(w) - 1, F.col("lines"))
-    size = F.coalesce(F.lead("before").over(w), F.col("all_chars")) - F.col("before") - 1
-    return heads.select(
-        "path", (F.row_number().over(w) - 1).alias("idx"), F.length(F.regexp_extract("text", _HEADING, 1)).alias("level"), F.trim(F.regexp_extract("text", _HEADING, 2)).alias("heading"),
-        F.col("line").alias("start_line"), end.alias("end_line"), F.ceil(size / 4).alias("tokens"),
+
+def outline(notes: DataFrame, raw: str = "raw", path: str = "path") -> DataFrame:
+    """(path, idx, level, heading, start_line, end_line, tokens): a section ends before the next heading of any level."""
+    found = notes.select(F.col(path).alias("path"), once(headings(F.split(raw, "\n"))).alias("h"))
+    # The end of the text stands as one more heading, so that each has a next one.
+    end = F.array(F.struct((F.col("h.line") + 1).alias("line"), F.col("h.chars").alias("before"), F.lit("").alias("text")))
+    each = found.select("path", F.concat("h.heads", end).alias("all"), F.posexplode("h.heads").alias("idx", "own")).withColumn("next", F.get("all", F.col("idx") + 1))
+    size = F.col("next.before") - F.col("own.before") - 1
+    return each.select(
+        "path", "idx", F.length(F.regexp_extract("own.text", _HEADING, 1)).alias("level"), F.trim(F.regexp_extract("own.text", _HEADING, 2)).alias("heading"),
+        F.col("own.line").alias("start_line"), (F.col("next.line") - 1).alias("end_line"), F.ceil(size / 4).alias("tokens"),
     )
 
 
@@ -43,14 +42,14 @@ def chunks(notes: DataFrame, body: str = "body", path: str = "path", offset: str
 
     ``offset`` names a column with the lines before the body in the file.
     """
-    each = lines(notes, body, path)
-    w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = each.withColumn("part", F.sum(F.col("heading").cast("int")).over(w))
-    own = placed.groupBy("path", "part").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    own = own.where(F.col("text").rlike(r"\S"))
-    if offset:
-        own = own.join(notes.select(F.col(path).alias("path"), F.col(offset).alias("shift")), "path").withColumn("start_line", F.col("start_line") + F.col("shift")).withColumn("end_line", F.col("end_line") + F.col("shift"))
-    return own.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("part")) - 1).alias("chunk"), "start_line", "end_line", "text")
+    shift = F.col(offset) if offset else F.lit(0)
+    found = notes.select(F.col(path).alias("path"), shift.alias("shift"), once(F.split(body, "\n")).alias("lines")).withColumn("h", once(headings(F.col("lines"))))
+    starts = F.array_distinct(F.concat(F.array(F.lit(1)), F.transform("h.heads", lambda x: x["line"])))
+    cut = found.select("path", "shift", "lines", starts.alias("starts"), F.concat(F.slice(starts, F.lit(2), F.size("lines")), F.array(F.size("lines") + 1)).alias("stops"))
+    text = lambda a, z: F.array_join(F.slice("lines", a, z - a), "\n")
+    parts = F.transform(F.arrays_zip("starts", "stops"), lambda x: F.struct(x["starts"].alias("start"), x["stops"].alias("stop"), text(x["starts"], x["stops"]).alias("text")))
+    own = cut.select("path", "shift", F.posexplode(F.filter(parts, lambda x: x["text"].rlike(r"\S"))).alias("chunk", "p"))
+    return own.select("path", "chunk", (F.col("p.start") + F.col("shift")).alias("start_line"), (F.col("p.stop") - 1 + F.col("shift")).alias("end_line"), "p.text")
 
 
 def section_of(found: DataFrame, sections: DataFrame) -> DataFrame:

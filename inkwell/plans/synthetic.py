@@ -11,10 +11,21 @@ from pyspark.sql import functions as F
 PRESETS = {"default": "true", "en": "source in ('src0','src1','src2','src3','src4','src5','src6','src7','src8','src9')", "raw": "source >= 'src15' and length(source) = 5"}
 
 
+#: Bytes of a table below which its rows are dealt to all cores: a small file is one row group, which one task reads.
+SMALL = 256 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of a small table over all cores; larger tables stay as their files split them, without an exchange."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, doc_id, source, lang, title, summary, tags, status, created, text, body, raw, _mtime, _size."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     n = docs.agg(F.max("doc_id")).first()[0] + 1
+    docs = dealt(docs)
     nl = F.char(F.lit(10))
     ident, half = F.col("doc_id"), F.floor(F.length("text") / 2).cast("int")
     df = docs.select(
@@ -50,7 +61,7 @@ notes AS (SELECT *, CAST(strlen(raw) AS BIGINT) AS _size FROM (SELECT *, '---' |
 LINKS_SQL = (
     NOTES_SQL
     + r""",
-named AS (SELECT DISTINCT path AS src, trim(unnest(regexp_extract_all(body, '\[\[([^\]\|#]+)(?:#[^\]\|]*)?(?:\|[^\]]*)?\]\]', 1))) AS target FROM notes),
+named AS (SELECT DISTINCT path AS src, trim(unnest(regexp_extract_all(body, '\[\[([^\]|#]+)[^\]]*\]\]', 1))) AS target FROM notes),
 links AS (SELECT src, target, lower(target) AS target_base, (SELECT min(path) FROM notes WHERE lower(regexp_extract(path, '([^/]*)\.md$', 1)) = lower(target)) AS dst FROM named)
 """
 )

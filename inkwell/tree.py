@@ -71,6 +71,13 @@ class Tree:
         if keys + 5 > source.COLUMN_LIMIT:
             raise InkwellError("COLUMN_LIMIT", f"{keys} front matter keys; at most {source.COLUMN_LIMIT} columns")
         tables = {"content": content}
+        # Postings of changed notes only, unless the tokenizer is another; laid out by term, so that files and row groups can be passed over.
+        same = old is not None and self.store.has("postings") and meta.get("tokenize") == self.cfg.tokenize
+        made = self._indexed(parsed.select("path", "title", "summary", "text") if same else content)
+        tables["postings"], tables["sizes"] = made.postings, made.sizes
+        if same:
+            tables["postings"], tables["sizes"] = keep("postings").unionByName(made.postings), keep("sizes").unionByName(made.sizes)
+        tables["postings"] = tables["postings"].repartitionByRange("term").sortWithinPartitions("term", "path")
         if self.cfg.on("links"):
             found = links.extract(parsed)
             if old is not None and self.store.has("links"):
@@ -108,21 +115,12 @@ class Tree:
         self.fields().createOrReplaceTempView("fields")
         from pyspark.sql import types as T
 
-        def has(field, value):
-            import json
-
-            if field is None:
-                return 0
-            if isinstance(field, str) and field.startswith("["):
-                try:
-                    items = json.loads(field)
-                    return int(any((("true" if x else "false") if isinstance(x, bool) else str(x)) == value for x in items))
-                except ValueError:
-                    pass
-            return int(str(value) in str(field))
-
+        items = "from_json(field, 'array<string>')"
+        self.spark.sql(
+            "CREATE OR REPLACE TEMPORARY FUNCTION has(field STRING, value STRING) RETURNS INT RETURN CASE WHEN field IS NULL THEN 0 "
+            f"WHEN startswith(field, '[') AND try_parse_json(field) IS NOT NULL AND {items} IS NOT NULL THEN CAST(coalesce(array_contains({items}, value), false) AS INT) ELSE CAST(contains(field, value) AS INT) END"
+        )
         on = self.segmented
-        self.spark.udf.register("has", has, T.IntegerType())
         self.spark.udf.register("segment", lambda q: (segment_match(q) if on else q) or "", T.StringType())
         return self
 
@@ -137,12 +135,17 @@ class Tree:
         return source.wide_view(self.tables["frontmatter"], sorted(kinds), kinds)
 
     def index(self) -> fulltext.Index:
-        content = self.tables["content"]
-        columns = SEG
+        """The stored index: a search reads the postings of its own terms."""
+        return fulltext.Index.stored(self.tables["postings"], self.tables["sizes"], self._columns(), self.tokenizer)
+
+    def _columns(self) -> tuple[str, ...]:
+        return (*SEG, *[f"{c}_seg" for c in SEG]) if self.segmented else SEG
+
+    def _indexed(self, content: DataFrame) -> fulltext.Index:
+        """The index of some notes, made anew."""
         if self.segmented:
             content = content.select("*", *[segment_column(F.col(c)).alias(f"{c}_seg") for c in SEG])
-            columns = (*SEG, *[f"{c}_seg" for c in SEG])
-        return fulltext.Index.build(content, columns, self.tokenizer)
+        return fulltext.Index.build(content, self._columns(), self.tokenizer)
 
     # -- scope ---------------------------------------------------------------------------------------------------
 
@@ -208,7 +211,9 @@ class Tree:
         fetch = fusion.fetch_size(k, narrow)
         query = segment_match(terms) if self.segmented else terms
         index = self.index()
-        scored = index.search(query)
+        node = index.parse(query)
+        words = [w for p in fulltext.phrases_of(index.parse(terms)) for w in p.words]
+        scored = index.score(node)
         condition = self._where(asked["where"]) if asked["where"] else None
         if condition is not None:
             scored = scored.join(condition, "path", "left_semi")
@@ -240,7 +245,7 @@ class Tree:
             top = top.join(places, "path", "left")
         rows = top.orderBy(F.desc("score"), "path").collect()
         matches.unpersist()
-        return [self._row(r, fulltext.bare_terms(terms), near is not None) for r in rows]
+        return [self._row(r, words, near is not None) for r in rows]
 
     def _row(self, r, terms: list[str], vectors: bool) -> dict:
         matched, lines = r.via.startswith("match"), r.lines if vectors else None
@@ -340,6 +345,11 @@ class Tree:
             raise InkwellError("SEARCH_SYNTAX", "only queries are allowed here")
         return self.spark.sql(statement, args=parameters or None)
 
+    @staticmethod
+    def placeholders(statement: str) -> int:
+        """Positional parameters of a statement, outside of its literals, quoted names and comments."""
+        return re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", " ", statement, flags=re.S).count("?")
+
     def matching(self, terms: str) -> DataFrame:
         """Full-text matches (path, score) as a table for SQL: also the view ``matched``."""
         found = self.index().search(segment_match(terms) if self.segmented else terms)

@@ -8,7 +8,8 @@ from inkwell.functions import text as tx
 from inkwell.functions.tokens import Tokenizer, porter, segment_field, segment_match
 from inkwell.errors import InkwellError
 from inkwell.operators import fulltext, fusion, graph, links, overview, sections, vector
-from inkwell.sources.notes import covers, parse_yaml, split_front
+from inkwell.sources.notes import covers, parse_note, parse_yaml, split_front
+from inkwell.tree import Tree
 
 EDGES = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", None)]
 
@@ -98,8 +99,8 @@ def test_segments():
     assert segment_match("title: 数据库") == 'title_seg:"数 据 库"' and segment_match("-title:数据库") == '-title_seg:"数 据 库"'
     assert segment_match("summary:全文 OR text:检索") == 'summary_seg:"全 文" OR text_seg:"检 索"'
     assert segment_match('"数据库 exact"') == '"数据库 exact"' and segment_match("东京 NOT 京都") == '"东 京" NOT "京 都"'
-    assert segment_field("数据库全文搜索很有用") == "ꟷ 数 据 库 全 文 搜 索 很 有 用 ꟷ" and segment_field("ค้นหา") == "ꟷ ค้ น ห า ꟷ"
-    assert segment_field("The 数据库 handles both") == "The ꟷ 数 据 库 ꟷ handles both" and segment_field("café au lait 한국 12") == ""
+    assert segment_field("数据库全文搜索很有用") == "ꞏ 数 据 库 全 文 搜 索 很 有 用 ꞏ" and segment_field("ค้นหา") == "ꞏ ค้ น ห า ꞏ"
+    assert segment_field("The 数据库 handles both") == "The ꞏ 数 据 库 ꞏ handles both" and segment_field("café au lait 한국 12") == ""
 
 
 def test_tokenizers():
@@ -173,3 +174,37 @@ def test_output():
     assert "".join(output.csv_rows(rows)) == 'a,b\n1,"x,""y""\nz"\n1152921504606846976,\n'
     assert '"1152921504606846976"' in "".join(output.json_rows(rows)) and "".join(output.json_rows([])) == "[]\n"
     assert output.table([]) == "(0 rows)" and output.table([{"k": "v" * 50}], 20).splitlines()[2].endswith("…")
+
+
+def test_links_with_blanks_and_odd_names(spark):
+    notes = spark.createDataFrame([("in/one.md", "[a](two words.md) [b](<no link>) [c](../top level.md#part) [[Name with | bar]] [[x#y|z]] [d](http://h/p.md)"), ("in/two words.md", ""), ("top level.md", "")], "path string, body string")
+    got = {r.target: r.dst for r in links.resolve(links.extract(notes), notes).collect()}
+    assert got == {"two words.md": "in/two words.md", "../top level.md": "top level.md", "Name with": None, "x": None}
+
+
+def test_stored_index_answers_as_one_made_anew(spark):
+    words = ["amber", "basin", "cedar", "delta", "ember"]
+    rows = [(f"n{i}", words[i % 5], f"{words[i % 3]} {words[(i + 1) % 4]}", " ".join(words[(i * k) % 5] for k in range(1, 4 + i % 7))) for i in range(40)]
+    notes = spark.createDataFrame(rows, "path string, title string, summary string, text string")
+    made = fulltext.Index.build(notes, tokenizer=Tokenizer("unicode61"))
+    stored = fulltext.Index.stored(made.postings.cache(), made.sizes.cache(), made.columns, made.tokenizer)
+    for query in ("amber", "amber OR delta", '"cedar amber"', "(amber NOT basin) OR title: ember", "ce* AND -title: delta", "NEAR(amber cedar, 1)", "^basin"):
+        one, two = ({r.path: round(r.score, 9) for r in x.search(query).collect()} for x in (made, stored))
+        assert one == two and one, query
+        assert set(one) == {r.path for r in stored.match(stored.parse(query)).collect()}
+
+
+def test_excerpt_terms_leave_out_what_must_not_match():
+    node = fulltext.Parser('title: "Big Words" other* NOT hidden', Tokenizer()).parse()
+    assert [w for p in fulltext.phrases_of(node) for w in p.words] == ["big", "words", "other"]
+    hit, at = fulltext.excerpt("word " * 20_000, ["word"])
+    assert at == 0 and hit.startswith("«word»")
+
+
+def test_numbers_beyond_64_bits_are_reals():
+    fields = parse_note("a.md", "---\nphone: 99999999999999999999\nsmall: 7\n---\n")["fields"]
+    assert float(fields["phone"]) == 1e20 and fields["small"] == "7"
+
+
+def test_placeholders_outside_of_literals():
+    assert Tree.placeholders("SELECT '?', \"?\", `a?`, ? -- ?\n/* ? */ WHERE x = ?") == 2
