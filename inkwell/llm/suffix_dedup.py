@@ -43,7 +43,7 @@ from inkwell.llm.common import bounded_batches, materialize, ranges, text_bytes
 from inkwell.llm.words import mix
 
 LENGTH, ANCHOR = 50, 20
-RUN_BYTES, SHARE_BYTES = 4 << 20, 16 << 20
+RUN_BYTES, SHARE_BYTES = 4 << 20, 8 << 20
 #: Windows that a reducer looks at together (those of one anchor at least).
 SLICE_WINDOWS = 400_000
 _SPAN = LENGTH - ANCHOR + 1  # anchors' places in a window
@@ -241,8 +241,8 @@ class LoserTree:
                 node >>= 1
 
 
-def _zip(data: bytes) -> bytes:
-    return zstandard.compress(data, 1)
+def _zip(data: bytes, level: int = 1) -> bytes:
+    return zstandard.compress(data, level)
 
 
 def _unzip(data) -> bytes:
@@ -287,7 +287,7 @@ def pack(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
             # Anchors fall on places by their hash alone, so text at even places is spread as that at anchors.
             places = np.unique(np.linspace(0, len(whole) - ANCHOR, SAMPLE).astype(np.int64)) if len(whole) >= ANCHOR else []
             sample = [whole[p : p + ANCHOR] for p in places]
-            return _batch(_RUNS, run=[part << 32 | k], ids=[ids], ends=[ends], text=[_zip(whole)], sample=[sample])
+            return _batch(_RUNS, run=[part << 32 | k], ids=[ids], ends=[ends], text=[_zip(whole, 6)], sample=[sample])
 
         for b in batches:
             data, at = text_bytes(b["text"])
@@ -489,6 +489,7 @@ def _merge(table: pa.Table) -> pa.Table:
     for k, (r, shared) in enumerate(tree):
         came[k], known[k] = at[r], shared
         at[r] += 1
+    del tree
     distinct = np.cumsum(known < _WIDTH) - 1
     lead = np.flatnonzero(known < _WIDTH)
     group = np.cumsum(known[lead] < ANCHOR) - 1
