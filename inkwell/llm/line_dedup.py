@@ -96,6 +96,8 @@ def drop_lines(docs: DataFrame, *, host: str = "source", text: str = "text", n_c
 def clean_pages(pages: DataFrame, *, page: str = "page_id", url: str = "url", html: str = "html", max_ratio: float = 0.1, min_pages: int = 3) -> DataFrame:
     """Per page: its host, number of text lines, of dropped lines, and the text of the others."""
     lined = pages.select(F.col(page), host_of(F.col(url)).alias("host"), html_lines(F.col(html)).alias("lines"))
+    # Written once: counting and cutting both need the lines, and markup costs most.
+    lined = materialize(lined, "lines")
     judged = with_boilerplate(lined, F.col("host"), F.col("lines"), max_ratio, min_pages)
     out = judged.select(page, "host", F.size("lines").cast("long").alias("n_lines"), kept(F.col("lines")).alias("left"))
     return out.select(page, "host", "n_lines", (F.col("n_lines") - F.size("left")).cast("long").alias("n_dropped"), F.array_join("left", "\n").alias("text"))
