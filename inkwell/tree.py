@@ -20,7 +20,7 @@ from inkwell.functions.tokens import segment_column, segment_match
 from inkwell.operators import fulltext, fusion, graph, links, overview, sections, vector
 from inkwell.sources import notes as source
 from inkwell.sources.models import model_dir, provider
-from inkwell.sources.store import SCHEMA_VERSION, Store
+from inkwell.sources.store import SCHEMA_VERSION, Store, clear, gate
 
 SEG = ("title", "summary", "text")
 
@@ -42,7 +42,12 @@ class Tree:
         return self.cfg.tokenize is None
 
     def open(self) -> Tree:
-        began = time.time()
+        """Bring the stored tables up to the files; one reconcile of a tree at a time."""
+        with self.store.writing:
+            return self._reconcile()
+
+    def _reconcile(self) -> Tree:
+        began, self.warnings = time.time(), []
         listing = source.list_files(self.cfg)
         spark, meta = self.spark, self.store.meta()
         listed = spark.createDataFrame([(r["path"], float(r["_mtime"]), int(r["_size"])) for r in listing], "path string, _mtime double, _size long")
@@ -183,6 +188,11 @@ class Tree:
 
     def embed_pending(self) -> None:
         """Vectors for the chunks that have none yet."""
+        with self.store.writing:
+            self._embed_pending()
+
+    def _embed_pending(self) -> None:
+        self.tables = {name: self.store.table(name) for name in self.store.meta()["tables"]}
         chunks = self.tables["embeddings"]
         model = provider(self.cfg.embed)
         if chunks.where("q is null").isEmpty():
@@ -365,7 +375,7 @@ class Tree:
         return self.search(entry["search"], **({k: entry[k] for k in ("preset", "include", "exclude", "where", "k") if k in entry} | given))
 
     def status(self) -> dict:
-        meta, e = self.store.meta(), self.cfg.embed
+        watcher, e = self.store.watcher(), self.cfg.embed
         vectors = None
         if "embeddings" in self.tables:
             n = self.tables["embeddings"].agg(F.count("q").alias("embedded"), (F.count("*") - F.count("q")).alias("pending")).first()
@@ -375,7 +385,7 @@ class Tree:
         return {
             "config": str(self.cfg.path), "tree": str(self.cfg.base), "cache": str(self.store.directory), "docs": front.docs, "unparseableFrontmatter": front.bad, "features": self.features(),
             "embed": e and {"type": e.get("type", "static"), "model": e["model"], "present": present, "vectors": vectors}, "presets": self.preset_coverage(), "queries": len(self.cfg.queries),
-            "watcherPid": meta.get("watch_pid"), "watcherHeartbeatSecondsAgo": round(time.time() - meta["watch_heartbeat"]) if meta.get("watch_heartbeat") else None,
+            "watcherPid": watcher.get("pid"), "watcherHeartbeatSecondsAgo": round(time.time() - watcher["beat"]) if watcher else None,
         }
 
 
@@ -385,8 +395,7 @@ def open_tree(cfg: Config, spark: SparkSession) -> Tree:
 
 
 def clear_cache(cfg: Config) -> None:
-    import shutil
-
-    shutil.rmtree(Path(cfg.base) / STATE_DIR, ignore_errors=True)
-
-
+    directory = Path(cfg.base) / STATE_DIR
+    if directory.is_dir():
+        with gate(directory.resolve() / "writer.lock"):
+            clear(directory)
