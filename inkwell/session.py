@@ -19,9 +19,16 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     return SparkSession.builder.master(master).appName("inkwell").config(map={**DEFAULTS, **conf}).getOrCreate()
 
 
+def own_dir(master: str) -> str:
+    """A temporary folder, for local masters alone: on a cluster it would be another one on each machine."""
+    if not master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="inkwell-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder of spark.checkpoint.dir (our own only where that is unset), so that a lost executor loses nothing."""
+    """Checkpoint in the shared folder of spark.checkpoint.dir (our own only where that is unset on a local master), so that a lost executor loses nothing."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="inkwell-"))
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or own_dir(context.master))
     return df.checkpoint()

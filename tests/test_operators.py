@@ -1,6 +1,7 @@
 """Operators of the core on small fixtures."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from inkwell.functions import text as tx
 from inkwell.functions.tokens import Tokenizer, porter, segment_field, segment_match
 from inkwell.errors import InkwellError
 from inkwell.operators import fulltext, fusion, graph, links, overview, sections, vector
+from inkwell.session import own_dir
 from inkwell.sources.notes import covers, parse_note, parse_yaml, split_front
 from inkwell.tree import Tree
 
@@ -200,6 +202,12 @@ def test_output():
     assert output.table([]) == "(0 rows)" and output.table([{"k": "v" * 50}], 20).splitlines()[2].endswith("…")
 
 
+def test_no_folder_of_its_own_on_a_cluster():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        own_dir("spark://somewhere:7077")
+    assert os.path.isdir(own_dir("local[2]"))
+
+
 def test_links_with_blanks_and_odd_names(spark):
     notes = spark.createDataFrame([("in/one.md", "[a](two words.md) [b](<no link>) [c](../top level.md#part) [[Name with | bar]] [[x#y|z]] [d](http://h/p.md)"), ("in/two words.md", ""), ("top level.md", "")], "path string, body string")
     got = {r.target: r.dst for r in links.resolve(links.extract(notes), notes).collect()}
