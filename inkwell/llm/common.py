@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,15 +12,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.session import own_dir
+
 _OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset on a local master."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not named:
-        named = _OWN_DIRS.setdefault(app, tempfile.mkdtemp(prefix="inkwell-"))
+        if app not in _OWN_DIRS:
+            _OWN_DIRS[app] = own_dir(spark.sparkContext.master)
+        named = _OWN_DIRS[app]
     return f"{named.rstrip('/')}/inkwell-{app}"
 
 

@@ -5,6 +5,7 @@ import hashlib
 import random
 import time
 import zlib
+from types import SimpleNamespace
 
 import ahocorasick  # noqa: F401  the operators need it
 import numpy as np
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from inkwell.llm import bpe, chat, decontamination, fingerprints, line_dedup, near_dedup, pii, queries, suffix_dedup, token_counts, toxicity
-from inkwell.llm.common import text_bytes
+from inkwell.llm.common import shared_dir, text_bytes
 from inkwell.llm.words import word_hashes
 
 SF = "/root/testdata/sf0.001"
@@ -34,6 +35,17 @@ def empty(spark):
     return odd(spark).where("false")
 
 
+def test_a_cluster_must_name_the_shared_folder():
+    unset = SimpleNamespace(get=lambda *_: None)
+    for master, fine in (("local[2]", True), ("spark://somewhere:7077", False)):
+        spark = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: unset, applicationId=master, master=master), conf=unset)
+        if fine:
+            assert shared_dir(spark) == shared_dir(spark)
+        else:
+            with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+                shared_dir(spark)
+
+
 def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
