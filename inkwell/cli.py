@@ -142,7 +142,7 @@ def _run(args, spark) -> int:
     elif args.command == "path":
         show(tree.path(args.a, args.b, args.max_depth, **scope), lambda p: "(no path)" if p is None else output.table([{"step": i, "path": x} for i, x in enumerate(p)]))
     elif args.command == "status":
-        show(tree.status(), lambda s: "\n".join(f"{k}: {v}" for k, v in s.items()))
+        show(tree.status(), output.render_status)
     return 0
 
 

@@ -36,6 +36,20 @@ def resolve(links: DataFrame, files: DataFrame) -> DataFrame:
     return named.join(exact, ["src", "target"], "left").join(by_name, "target_base", "left").select("src", "target", "target_base", F.coalesce("exact", "by_name").alias("dst"))
 
 
+def refresh(stored: DataFrame, fresh: DataFrame, files: DataFrame, moved: DataFrame) -> DataFrame:
+    """The resolved links of a tree after a change: those of the notes read anew (``fresh``), and of ``stored``, without the
+    links of such notes, the ones that a path which came or went (``moved``) can touch. All others keep their answer.
+
+    A path touches the links to its name. A target that ends in dots or a slash names a note by other steps: always tried.
+    """
+    key = base_key(F.col("path"))
+    names = moved.select(F.explode(F.array(key, base_key(key))).alias("target_base")).distinct()
+    odd = F.col("target_base").isin("", ".", "..")
+    touched = stored.where(odd).unionByName(stored.where(~odd).join(names, "target_base", "left_semi"), allowMissingColumns=False)
+    again = resolve(touched.select("src", "target").unionByName(fresh.select("src", "target")), files)
+    return stored.where(~odd).join(names, "target_base", "left_anti").select(again.columns).unionByName(again)
+
+
 def dead(links: DataFrame, attachments: bool = True) -> DataFrame:
     """Links that lead nowhere; ``attachments`` False leaves out targets with a file extension."""
     out = links.where("dst is null")

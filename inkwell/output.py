@@ -102,6 +102,17 @@ def render_map(m: dict) -> str:
     return "\n".join([*out, "\nrecent:", table(m["recent"])])
 
 
+def render_status(s: dict) -> str:
+    out = [f"config: {s['config']}", f"tree: {s['tree']}", f"cache: {s['cache']}", f"docs: {s['docs']}" + (f" ({s['unparseableFrontmatter']} with front matter that did not parse)" if s["unparseableFrontmatter"] else ""), _features(s["features"])]
+    if e := s["embed"]:
+        v = e["vectors"]
+        out.append(f"embed: {e['type']} {e['model']}" + (f" at {e['url']}" if e["url"] else "") + ("" if e["present"] else " (not present)") + (f", {v['embedded']} embedded, {v['pending']} pending" if v else ""))
+    else:
+        out.append("embed: off")
+    out += [*_presets(s["presets"]), f"queries: {s['queries']}"]
+    return "\n".join([*out, f"watcher: pid {s['watcherPid']}, last heard {s['watcherHeartbeatSecondsAgo']} s ago" if s["watcherPid"] else "watcher: none"])
+
+
 def render_peek(p: dict) -> str:
     out = [f"{p['path']}  (~{p['tokens']} tokens)"]
     if p["parseError"]:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from inkwell.functions import text as tx
 from inkwell.functions.tokens import Tokenizer
 from inkwell.operators import fulltext, fusion, graph, links, overview, sections, vector
+from inkwell.plans.corpus import corpus
 from inkwell.plans.synthetic import LINKS_SQL, NOTES_SQL, PRESETS, TOKENS_SQL, notes
+from inkwell.session import cut
 
 PLAIN = "unicode61 remove_diacritics 0"
 QUERIES: dict = {}
@@ -120,6 +122,19 @@ def links_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(spark, sf_dir)[0]
 
 
+@query("WITH " + LINKS_SQL + " SELECT src, target, target_base, dst FROM links")
+def links_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolved links after a third of the notes came, a tenth went and a seventh was read anew: as if all were resolved now."""
+    n = notes(spark, sf_dir).select("path", "body", "doc_id")
+    gone = n.where("doc_id % 10 = 3").select(F.concat("path", F.lit("-gone.md")).alias("path"), "body")
+    came, anew = F.col("doc_id") % 3 == 0, F.col("doc_id") % 7 == 1
+    before = n.where(~came).select("path", "body").unionByName(gone)
+    stored = links.resolve(links.extract(before), before)
+    moved = n.where(came).select("path").unionByName(gone.select("path"))
+    rest = stored.join(n.where(~came & ~anew).select(F.col("path").alias("src")), "src", "left_semi")
+    return links.refresh(rest, links.extract(n.where(came | anew)), n, moved)
+
+
 @query("WITH " + LINKS_SQL + " SELECT src, target FROM links WHERE dst IS NULL AND NOT regexp_matches(lower(target), '\\.[a-z0-9]')")
 def dead_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.dead(_links(spark, sf_dir)[0], attachments=False).select("src", "target")
@@ -208,6 +223,19 @@ def shortest_path_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.rings(found, start, max_depth=4).select("path", "depth")
 
 
+@query(
+    "WITH RECURSIVE " + LINKS_SQL + """,
+e AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM links WHERE dst IS NOT NULL UNION ALL SELECT dst, src FROM links WHERE dst IS NOT NULL)),
+hop(path, depth) AS (SELECT min(path), 0 FROM notes UNION SELECT e.dst, depth + 1 FROM hop JOIN e ON hop.path = e.src WHERE depth < 4),
+near AS MATERIALIZED (SELECT path, min(depth) AS depth FROM hop GROUP BY path)
+SELECT n.path, n.depth, min(e.src) FILTER (WHERE p.depth = n.depth - 1) AS pred FROM near n LEFT JOIN e ON e.dst = n.path LEFT JOIN near p ON p.path = e.src GROUP BY n.path, n.depth"""
+)
+def shortest_path_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least note before each on a shortest path."""
+    found, n = _links(spark, sf_dir)
+    return graph.rings(found, n.agg(F.min("path")).first()[0], max_depth=4)
+
+
 @query(
     "WITH RECURSIVE " + LINKS_SQL + """,
 e AS MATERIALIZED (SELECT DISTINCT src, dst FROM links WHERE dst IS NOT NULL),
@@ -272,10 +300,11 @@ SELECT path, round(score, 4) AS score, CASE WHEN ism AND isl AND path IN (SELECT
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole lexical search: match list, link list from its ranks, fusion."""
     found, n = _links(spark, sf_dir)
-    live = found.where("dst is not null")
+    # Read several times below: written once, as the tree stores them.
+    live = cut(found.where("dst is not null"))
     scored = _index(spark, sf_dir).search(" OR ".join(WORDS)).withColumn("o", F.round("score", 9))
     fetch = fusion.fetch_size(10, False)
-    matches = fusion.numbered(scored.orderBy("o", "path").limit(fetch), ["o", "path"])
+    matches = cut(fusion.numbered(scored.orderBy("o", "path").limit(fetch), ["o", "path"]))
     ranks = graph.personalized(live, matches.select("path", (1.0 / (F.col("i") + 1)).alias("weight")), n).where(F.col("rank") > fusion.LINK_FLOOR).withColumn("o", F.round("rank", 12))
     around = fusion.numbered(ranks.orderBy(F.desc("o"), "path").limit(fetch), [F.desc("o"), "path"])
     touching = graph.both_ways(live).select(F.col("src").alias("path"))
@@ -421,6 +450,39 @@ def or_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes(spark, sf_dir).select("path", tx.or_bag(F.col("title")).alias("bag"))
 
 
+@query("WITH " + NOTES_SQL + r""", c AS (SELECT path, created AS v FROM notes UNION ALL SELECT path, title FROM notes UNION ALL SELECT path, replace(created, ' ', 'x') FROM notes)
+SELECT path, v, regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]') AS like_datetime FROM c""")
+def datetime_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = notes(spark, sf_dir)
+    values = F.array("created", "title", F.translate("created", " ", "x"))
+    return n.select("path", F.explode(values).alias("v")).select("path", "v", tx.looks_like_datetime(F.col("v")).alias("like_datetime"))
+
+
+_MARKED = "'## ' || title || chr(10) || '> **' || source || '** and _' || lang || '_ see [[' || source || '|the source]], [' || lang || '](' || path || ') or ~~' || source || '~~' || chr(10) || '- [x] `' || lang || '`' || chr(10)"
+
+
+@query("WITH " + NOTES_SQL + r" SELECT path, trim(regexp_replace(t || ' ' || source || ' and ' || lang || ' see the source, ' || lang || ' or ' || source || ' ' || lang, '\s+', ' ', 'g')) AS text FROM (SELECT *, regexp_replace(title, '[^A-Za-z0-9]+', ' ', 'g') AS t FROM notes)")
+def stripped_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A heading, a quote with emphasis, links and a struck word, and a task with code: the words are left."""
+    n = notes(spark, sf_dir).withColumn("title", F.regexp_replace("title", "[^A-Za-z0-9]+", " "))
+    return n.select("path", tx.strip_markdown(F.expr(_MARKED.replace("chr(10)", "char(10)"))).alias("text"))
+
+
+@query()
+def synthetic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many synthetic notes as there are documents."""
+    return corpus(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").count())
+
+
+@query("WITH " + NOTES_SQL + r" SELECT path, 'ꞏ 数 据 库 ꞏ ' || trim(regexp_replace(title, '\s+', ' ', 'g')) AS segmented FROM (SELECT path, regexp_replace(title, '[^A-Za-z0-9]+', ' ', 'g') AS title FROM notes) WHERE title <> ' '")
+def segmented_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of an unspaced script becomes its letters between marks, other words stay; white space is one blank."""
+    from inkwell.functions.tokens import segment_column
+
+    title = F.regexp_replace("title", "[^A-Za-z0-9]+", " ")
+    return notes(spark, sf_dir).select("path", title.alias("title")).where("title <> ' '").select("path", segment_column(F.concat(F.lit("数据库 "), "title")).alias("segmented"))
+
+
 @query()
 def grapheme_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.functions.tokens import segment_column

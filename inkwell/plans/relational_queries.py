@@ -105,6 +105,20 @@ def sql_cube(spark, sf_dir):
     return o.cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus) AS INTEGER) AS without_status FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+def sql_grouping_sets(spark, sf_dir):
+    (o,) = _t(spark, sf_dir, "orders")
+    sets = [[F.col("o_orderstatus")], [F.col("o_orderpriority")], []]
+    out = o.groupingSets(sets, "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.grouping("o_orderstatus").cast("int").alias("without_status"))
+    return out
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS orders FROM orders RIGHT JOIN customer ON o_custkey = c_custkey AND o_totalprice > 100000 GROUP BY c_custkey")
+def sql_right_join(spark, sf_dir):
+    o, c = _t(spark, sf_dir, "orders", "customer")
+    return o.where("o_totalprice > 100000").join(c, o.o_custkey == c.c_custkey, "right").groupBy("c_custkey").agg(F.count("o_orderkey").alias("orders"))
+
+
 @query("SELECT * FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER w AS INTEGER) AS place, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)) WHERE place <= 3")
 def sql_window_top3(spark, sf_dir):
     (o,) = _t(spark, sf_dir, "orders")

@@ -7,6 +7,7 @@ import os
 import struct
 import urllib.request
 from pathlib import Path
+from urllib.parse import urlsplit, urlunsplit
 
 import numpy as np
 
@@ -89,6 +90,17 @@ class ApiModel:
         return np.array(out, float)
 
 
+def redact_url(url: str | None) -> str | None:
+    """The address without user name and password; what can't be read as an address is not shown."""
+    if url is None:
+        return None
+    try:
+        parts = urlsplit(url)
+    except ValueError:
+        return "(unreadable)"
+    return urlunsplit(parts._replace(netloc=parts.netloc.rpartition("@")[2])) if parts.netloc else "(unreadable)" if "@" in url else url
+
+
 def provider(embed: dict | None):
     if not embed:
         raise InkwellError("EMBED_DISABLED", "no model is named: the config has no embed block")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import time
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 from pathlib import Path
@@ -19,10 +20,16 @@ from inkwell.functions import text as tx
 from inkwell.functions.tokens import segment_column, segment_match
 from inkwell.operators import fulltext, fusion, graph, links, overview, sections, vector
 from inkwell.sources import notes as source
-from inkwell.sources.models import model_dir, provider
+from inkwell.sources.models import model_dir, provider, redact_url
 from inkwell.sources.store import SCHEMA_VERSION, Store, clear, gate
 
 SEG = ("title", "summary", "text")
+#: Share of the notes beyond which a reconcile resolves all links anew; the answer is the same.
+CHURN = 0.2
+#: A literal, a quoted name or a comment of a statement.
+_QUOTED = r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/"
+#: The table of full-text matches in a statement.
+_MATCHING = re.compile(rf"\bmatching\s*\(\s*('(?:[^'\\]|\\.|'')*'|\?)\s*\)|{_QUOTED}|\?", re.S | re.I)
 
 
 class Tree:
@@ -58,9 +65,10 @@ class Tree:
             if not diff and meta.get("tokenize") == self.cfg.tokenize:
                 return self._bind()
             changed = [r.path for r in diff if r.state != "vanished"]
+            moved = [r.path for r in diff if r.state in ("added", "vanished")]
             gone = {r.path for r in diff}
         else:
-            changed, gone = [r["path"] for r in listing], set()
+            changed, gone, moved = [r["path"] for r in listing], set(), []
         paths = spark.createDataFrame([(p,) for p in changed], "path string")
         parsed = source.read_notes(spark, str(self.cfg.base), paths).cache()
         for r in parsed.where(F.size("warnings") > 0).select("warnings").toLocalIterator():
@@ -84,13 +92,23 @@ class Tree:
             tables["postings"], tables["sizes"] = keep("postings").unionByName(made.postings), keep("sizes").unionByName(made.sizes)
         tables["postings"] = tables["postings"].repartitionByRange("term").sortWithinPartitions("term", "path")
         if self.cfg.on("links"):
-            found = links.extract(parsed)
+            found, still = links.extract(parsed), False
             if old is not None and self.store.has("links"):
-                found = self.store.table("links").join(gone_df.withColumnRenamed("path", "src"), "src", "left_anti").select("src", "target").unionByName(found)
-            tables["links"] = links.resolve(found, front.select("path"))
+                have, own = self.store.table("links"), gone_df.withColumnRenamed("path", "src")
+                rest = have.join(own, "src", "left_anti")
+                # Neither notes nor links came or went: edges and ranks stand.
+                still = not moved and all(d.isEmpty() for d in links.changed(have.join(own, "src", "left_semi"), found))
+                if still:
+                    tables["links"] = have
+                elif len(gone) > CHURN * len(listing):
+                    tables["links"] = links.resolve(rest.select("src", "target").unionByName(found), front.select("path"))
+                else:
+                    tables["links"] = links.refresh(rest, found, front.select("path"), spark.createDataFrame([(p,) for p in moved], "path string"))
+            else:
+                tables["links"] = links.resolve(found, front.select("path"))
         ranks = front.select("path", F.lit(None).cast("double").alias("rank"))
         if self.cfg.on("links") and self.cfg.on("rank"):
-            ranks = graph.pagerank(tables["links"], front.select("path"))
+            ranks = old.select("path", F.col("_rank").alias("rank")) if still else graph.pagerank(tables["links"], front.select("path"))
         tables["frontmatter"] = front.join(ranks.withColumnRenamed("rank", "_rank"), "path", "left")
         if self.cfg.on("sections"):
             own = sections.outline(parsed)
@@ -346,26 +364,51 @@ class Tree:
         return [r.asDict() for r in found.select("path", vector.similarity(F.col("score")).alias("similarity")).collect()]
 
     def sql(self, statement: str, parameters: list | None = None, preset: str | None = None) -> DataFrame:
-        """A query over all tables; with ``preset``, its paths are the view ``scope``."""
+        """A query over all tables; with ``preset``, its paths are the view ``scope``.
+
+        ``matching('terms')`` or ``matching(?)`` is a table (path, score) of the notes that match a full-text query.
+        """
         if preset is not None:
             if not re.search(r"\bscope\b", statement):
                 raise InkwellError("PRESET_UNKNOWN", "a preset was named, but the statement never mentions scope")
             self.scope(self.cfg.resolve(preset=preset)).createOrReplaceTempView("scope")
         if not re.match(r"\s*(--[^\n]*\n\s*|\()*\s*(select|with|values|describe|desc|show|explain|from|table)\b", statement, re.I):
             raise InkwellError("SEARCH_SYNTAX", "only queries are allowed here")
+        statement, parameters = self._with_matches(statement, list(parameters or []))
         return self.spark.sql(statement, args=parameters or None)
 
+    def _with_matches(self, statement: str, parameters: list) -> tuple[str, list]:
+        """The statement with a view in place of each ``matching(…)``, and the parameters that are left."""
+        left = iter(parameters)
+        kept: list = []
+
+        def view(m: re.Match) -> str:
+            if m[1] is None:
+                if m[0] == "?":
+                    kept.extend(x for _, x in zip(range(1), left))  # noqa: B905
+                return m[0]
+            terms = next(left, "") if m[1] == "?" else m[1][1:-1].replace("''", "'")
+            name = f"matched_{uuid.uuid4().hex}"
+            self._matches(str(terms)).createOrReplaceTempView(name)
+            return name
+
+        out = _MATCHING.sub(view, statement)
+        return out, [*kept, *left]
+
     @staticmethod
     def placeholders(statement: str) -> int:
         """Positional parameters of a statement, outside of its literals, quoted names and comments."""
-        return re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", " ", statement, flags=re.S).count("?")
+        return re.sub(_QUOTED, " ", statement, flags=re.S).count("?")
 
     def matching(self, terms: str) -> DataFrame:
         """Full-text matches (path, score) as a table for SQL: also the view ``matched``."""
-        found = self.index().search(segment_match(terms) if self.segmented else terms)
+        found = self._matches(terms)
         found.createOrReplaceTempView("matched")
         return found
 
+    def _matches(self, terms: str) -> DataFrame:
+        return self.index().search(segment_match(terms) if self.segmented else terms)
+
     def saved(self, name: str, parameters: list | None = None, **own):
         """A saved query by name: rows of a search, or the DataFrame of a statement."""
         entry = self.cfg.queries[name]
@@ -384,7 +427,7 @@ class Tree:
         present = bool(e) and (e.get("type") == "api" or all((model_dir(e["model"]) / f).is_file() for f in ("model.safetensors", "tokenizer.json")))
         return {
             "config": str(self.cfg.path), "tree": str(self.cfg.base), "cache": str(self.store.directory), "docs": front.docs, "unparseableFrontmatter": front.bad, "features": self.features(),
-            "embed": e and {"type": e.get("type", "static"), "model": e["model"], "present": present, "vectors": vectors}, "presets": self.preset_coverage(), "queries": len(self.cfg.queries),
+            "embed": e and {"type": e.get("type", "static"), "model": e["model"], "url": redact_url(e.get("url")), "present": present, "vectors": vectors}, "presets": self.preset_coverage(), "queries": len(self.cfg.queries),
             "watcherPid": watcher.get("pid"), "watcherHeartbeatSecondsAgo": round(time.time() - watcher["beat"]) if watcher else None,
         }
 

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import os
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,10 @@ from inkwell.functions import text as tx
 from inkwell.functions.tokens import Tokenizer, porter, segment_field, segment_match
 from inkwell.errors import InkwellError
 from inkwell.operators import fulltext, fusion, graph, links, overview, sections, vector
+from inkwell.plans.corpus import corpus
 from inkwell.session import own_dir
+from inkwell.sources import labels as sources_labels
+from inkwell.sources.models import redact_url
 from inkwell.sources.notes import covers, parse_note, parse_yaml, split_front
 from inkwell.tree import Tree
 
@@ -240,3 +245,41 @@ def test_numbers_beyond_64_bits_are_reals():
 
 def test_placeholders_outside_of_literals():
     assert Tree.placeholders("SELECT '?', \"?\", `a?`, ? -- ?\n/* ? */ WHERE x = ?") == 2
+
+
+def test_refreshed_links_equal_a_full_resolution(spark):
+    old = {"a/x.md": "[[y]] [[b/y]] [[n.md]] [[gone]] [[q/]]", "a/y.md": "[[x]]", "gone.md": "[[x]]", "z.md": "[[new]] [q](b/../b/y.md)"}
+    new = {k: v for k, v in old.items() if k != "gone.md"} | {"z.md": "[[x]] [q](b/../b/y.md)", "b/y.md": "[[y]]", "new.md": "[[gone]]", "n.md.md": "", "a/q.md": ""}
+    table = lambda d: spark.createDataFrame(list(d.items()), "path string, body string")
+    before, after = table(old), table(new)
+    moved = spark.createDataFrame([(p,) for p in set(old) ^ set(new)], "path string")
+    anew = [p for p in new if new[p] != old.get(p)]
+    stored = links.resolve(links.extract(before), before).where(~F.col("src").isin(*anew, "gone.md"))
+    got = links.refresh(stored, links.extract(after.where(F.col("path").isin(anew))), after, moved)
+    want = links.resolve(links.extract(after), after)
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_labels(spark, tmp_path):
+    (tmp_path / "queries.jsonl").write_text('{"_id": "q1", "text": "tides"}\n{"text": "no id"}\nbroken\n{"_id": "q2"}\n')
+    (tmp_path / "test.tsv").write_text("query-id\tcorpus-id\tscore\nq1\td1\t1\nq1\td1\t2\nq2\td9\t0\n")
+    asked, labels = sources_labels.queries(spark, str(tmp_path / "queries.jsonl")), sources_labels.judgements(spark, str(tmp_path / "test.tsv"))
+    assert sorted(map(tuple, asked.collect())) == [("q1", "tides"), ("q2", "")]
+    assert sorted(map(tuple, labels.collect())) == [("q1", "d1", 2.0), ("q2", "d9", 0.0)]
+    assert [r.query for r in sources_labels.judged(asked, labels).collect()] == ["q1"]
+
+
+def test_corpus_is_the_same_each_time_and_skewed(spark):
+    got = corpus(spark, 200, words=120, vocabulary=500).collect()
+    assert sorted(got) == sorted(corpus(spark, 200, words=120, vocabulary=500).repartition(3).collect())
+    assert len({r.path for r in got}) == 200 and all(r.raw.count("\n## ") == 4 for r in got)
+    words = Counter(w for r in got for w in r.raw.split() if w.startswith("w"))
+    ranks = [n for _, n in words.most_common()]
+    assert ranks[0] > 5 * ranks[9] and len(ranks) > 300
+    linked = Counter(x for r in got for x in re.findall(r"\[\[(note-\d+)\]\]", r.raw))
+    assert linked.total() == 600 and linked.most_common(1)[0][0] == "note-0"
+
+
+@pytest.mark.parametrize(("url", "shown"), [("https://me:secret@host:8080/v1?x=1", "https://host:8080/v1?x=1"), ("http://host/v1", "http://host/v1"), ("me:secret@host", "(unreadable)"), ("http://[::1", "(unreadable)"), (None, None)])
+def test_addresses_without_credentials(url, shown):
+    assert redact_url(url) == shown

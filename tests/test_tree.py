@@ -85,6 +85,20 @@ def test_sql_parameters_scope_and_read_only(tree):
     assert tree.saved("fees")[0]["path"] == "quay.md"
 
 
+def test_full_text_within_sql(tree):
+    """matching(…) is a table anywhere in a statement but in its literals, and takes its terms from a parameter too."""
+    one = "SELECT f.path, 'matching(''x'') ?' AS said FROM frontmatter f JOIN matching('mooring OR \"quiet hours\"') m ON f.path = m.path WHERE f.state = ? ORDER BY m.score, f.path"
+    assert tree.placeholders(one) == 1
+    assert [tuple(r) for r in tree.sql(one, ["open"]).collect()] == [(p, "matching('x') ?") for p in sorted(["quay.md", "harbour rules.md"], key=lambda p: [r.path for r in tree.matching('mooring OR "quiet hours"').orderBy("score", "path").collect()].index(p))]
+    two = "SELECT path FROM frontmatter WHERE state = ? AND path IN (SELECT path FROM matching(?)) AND path NOT IN (SELECT path FROM matching('members'))"
+    assert tree.placeholders(two) == 2
+    assert [r.path for r in tree.sql(two, ["closed", "mooring"]).collect()] == ["1987/ledger.md"]
+    assert tree.sql(two, ["open", "mooring"]).collect() == []
+    with pytest.raises(InkwellError) as e:
+        tree.sql("SELECT * FROM matching('mooring OR OR')")
+    assert e.value.code == "SEARCH_SYNTAX"
+
+
 def test_peek_path_map_status(tree):
     p = tree.peek("quay")
     assert p["outbound"] == ["harbour rules.md"] and p["backlinks"] == ["crew/rota.md", "crew/tides.md"] and p["sections"][0]["heading"] == "Discounts"
@@ -120,6 +134,36 @@ def test_life_cycle(spark, tmp_path):
     assert sorted(map(tuple, open_tree(cfg, spark).tables["links"].collect())) == sorted(map(tuple, tree.spark.read.parquet(*[str(p) for p in tmp_path.glob(".inkwell/*/links")]).collect()))
 
 
+def test_small_changes_touch_few_links(spark, tmp_path, monkeypatch):
+    """Text alone leaves edges and ranks as they are; a link or a name that comes or goes gives what a new build gives."""
+    notes = {f"n{i:02}.md": ("", f"See [[n{(i * 7 + 3) % 20:02}]] and [[late]].\n") for i in range(20)}
+    cfg = write(tmp_path, notes)
+    open_tree(cfg, spark)
+    ran = []
+    from inkwell.operators import graph, links
+
+    for module, name in ((graph, "pagerank"), (links, "refresh"), (links, "resolve")):
+        own = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, own=own, name=name, **k: ran.append(name) or own(*a, **k))
+    state = lambda t: (sorted(map(tuple, t.tables["links"].collect()), key=str), sorted((r.path, round(r._rank, 12)) for r in t.tables["frontmatter"].collect()))
+
+    def after(path, text, ran_now):
+        (tmp_path / path).write_text(text) if text is not None else (tmp_path / path).unlink()
+        ran.clear()
+        got = state(open_tree(cfg, spark))
+        assert ran == ran_now
+        Tree(cfg, spark).store.clear()
+        assert state(open_tree(cfg, spark)) == got
+        return got
+
+    before = after("n05.md", notes["n05.md"][1] + "More words.\n", [])
+    assert after("n05.md", "See [[n00]].\n", ["refresh", "resolve", "pagerank"]) != before
+    links_now, _ = after("late.md", "Here.\n", ["refresh", "resolve", "pagerank"])
+    assert sum(r[3] == "late.md" for r in links_now) == 19
+    links_now, _ = after("late.md", None, ["refresh", "resolve", "pagerank"])
+    assert not any(r[3] == "late.md" for r in links_now)
+
+
 def test_features_off(spark, tmp_path):
     tree = open_tree(write(tmp_path, NOTES, features={"links": False, "rank": False, "sections": False}), spark)
     assert {r["via"] for r in tree.search("mooring")} == {"match"}
@@ -148,6 +192,11 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert cli.main(["sql", "SELECT nope FROM content"], spark) == 1
     assert cli.main(["in_state", "closed"], spark) == 0
     assert cli.main(["lighthouse"], spark) == 2
+    capsys.readouterr()
+    assert cli.main(["sql", "SELECT path FROM matching(?) ORDER BY path", "mooring", "--format", "csv"], spark) == 0
+    assert capsys.readouterr().out == "path\n1987/ledger.md\nquay.md\n"
+    assert cli.main(["status"], spark) == 0
+    assert "docs: 6 (1 with front matter that did not parse)" in capsys.readouterr().out
     assert cli.main(["path", "rota", "ledger", "--format", "json"], spark) == 0
     assert capsys.readouterr().out.strip().endswith("null")
     with pytest.raises(SystemExit) as e:
