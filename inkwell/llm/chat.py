@@ -2,7 +2,8 @@
 
 A transcript is plain text. Each line gives categorical features (the kind of speaker marker it begins with, whether it
 is blank, follows a blank line, asks, and its length class). The states are (role, begin) and (role, inside); emission
-is a product over features. Counts with add-one smoothing from a bounded sample of labelled transcripts train the model;
+is a product over features. Counts with add-one smoothing train the model, from the ``sample`` labelled transcripts of
+least hash and of these at most ``sample_bytes`` of text in the same order (longer transcripts alone are not learnt from);
 Viterbi finds the likeliest path of the states; begin states start turns, markers are taken off, and turns are rendered
 as <|im_start|>role, text, <|im_end|>.
 
@@ -17,6 +18,7 @@ nobody's; a null turn is turn 0 and a null conversation a conversation; an empty
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROLES = ("system", "user", "assistant")
-#: Transcripts that training looks at, at most.
-SAMPLE = 2_000
+#: Transcripts and bytes of their texts that training looks at, at most.
+SAMPLE, SAMPLE_BYTES = 2_000, 32 << 20
 SEGMENT = 32
 
 #: Names by which transcripts call the roles. Fixed values.
@@ -74,7 +76,7 @@ class Hmm:
         self.start, self.step, self.emit = start, step, emit
 
     @classmethod
-    def train(cls, examples: list[tuple[list[str], list[int]]]) -> Hmm:
+    def train(cls, examples: Iterable[tuple[list[str], list[int]]]) -> Hmm:
         n = 2 * len(ROLES)
         start, step = np.ones(n), np.zeros((n, n))
         emit = [np.ones((n, k)) for k in SIZES]
@@ -175,15 +177,20 @@ def transcripts(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn",
     return own.withColumn("style", style)
 
 
-def train(written: DataFrame, sample: int = SAMPLE) -> Hmm:
-    """Fit on the ``sample`` transcripts of least hash, all of whose roles are known."""
+def train(written: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Hmm:
+    """Fit on the ``sample`` transcripts of least hash, all of whose roles are known, up to ``sample_bytes`` of text."""
+    key = ["h", "conv_id", "segment", "branch"]
+    size = F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t["text"]))
     known = written.where(F.forall("turns", lambda t: F.coalesce(t["role"].isin(*ROLES), F.lit(False))))
-    rows = known.orderBy(F.xxhash64("conv_id", "segment", "branch"), "conv_id", "segment", "branch").limit(sample)
-    examples = []
-    for r in rows.toLocalIterator():
-        text, states = write([(t.role, t.text) for t in r.turns], r.style)
-        examples.append((text.split("\n"), states))
-    return Hmm.train(examples)
+    known = known.withColumn("h", F.xxhash64("conv_id", "segment", "branch")).withColumn("size", size).where(F.col("size") <= sample_bytes)
+    # The bounds act on keys and sizes alone; then only the rows up to the last that fits are fetched.
+    sizes = known.select(*key, "size").orderBy(*key).limit(sample).collect()
+    n = int(np.searchsorted(np.cumsum([r["size"] for r in sizes]), sample_bytes, side="right"))
+    if not n:
+        return Hmm.train([])
+    rows = known.where(F.col("h") <= sizes[n - 1].h).orderBy(*key).limit(n)
+    written_out = (write([(t.role, t.text) for t in r.turns], r.style) for r in rows.toLocalIterator())
+    return Hmm.train((text.split("\n"), states) for text, states in written_out)
 
 
 FORMATTED = "struct<n_lines:long, n_turns:long, roles:string, n_right:long, n_known:long, chat:string>"

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import time
 import zlib
@@ -310,6 +311,52 @@ def test_toxicity_held_out(spark):
     assert (neg >= 0.3).mean() < 0.02
 
 
+def test_ftrl_is_the_published_update():
+    """Against the algorithm as published, one coordinate at a time, over words, pairs and skip-pairs kept by name."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 30))) for _ in range(120)]
+    labels = np.array([int("w1 w2" in t or "w3" in t.split()) for t in texts])
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    bits = 24
+    places, weights, bias = toxicity.fit(data, offsets, labels, bits)
+
+    def named(text):
+        w = text.split()
+        seen = [(0, x) for x in w] + [(g, a, b) for g in (1, 2, 3) for a, b in zip(w, w[g:])]  # noqa: B905
+        return {f: math.log2(1 + c) / math.sqrt(1 + math.log2(1 + len(w))) for f, c in collections.Counter(seen).items()}
+
+    z, n, bz, bn = {}, {}, 0.0, 0.0
+
+    def weight(f):
+        if abs(z.get(f, 0.0)) <= toxicity.L1:
+            return 0.0
+        return -(z[f] - math.copysign(toxicity.L1, z[f])) / ((toxicity.BETA + math.sqrt(n[f])) / toxicity.ALPHA + toxicity.L2)
+
+    own_bias = lambda: -bz / ((toxicity.BETA + math.sqrt(bn)) / toxicity.ALPHA)
+    for _ in range(toxicity.PASSES):
+        for text, y in zip(texts, labels, strict=True):
+            x = named(text)
+            w, b = {f: weight(f) for f in x}, own_bias()
+            p = 1 / (1 + math.exp(-(b + sum(w[f] * v for f, v in x.items()))))
+            for f, v in [*x.items(), (None, 1.0)]:
+                g = (p - y) * v
+                if f is None:
+                    bz, bn = bz + g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / toxicity.ALPHA * b, bn + g * g
+                else:
+                    old = n.get(f, 0.0)
+                    z[f], n[f] = z.get(f, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / toxicity.ALPHA * w[f], old + g * g
+    assert bias == pytest.approx(own_bias(), abs=1e-9)
+    want = sorted(x for x in map(weight, n) if x)
+    assert len(want) > 5 and sorted(weights) == pytest.approx(want, abs=1e-9)
+    dense = np.zeros(1 << bits)
+    dense[places] = weights
+    got = toxicity.score(data, offsets, dense, bias, bits)
+    for s, text in zip(got, texts, strict=True):
+        assert s == pytest.approx(1 / (1 + math.exp(-(own_bias() + sum(weight(f) * v for f, v in named(text).items())))), abs=1e-9)
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(1, 1), (6, 0), (7, None), (None, 1), (99, 1)], "doc_id long, toxic int")
     model = toxicity.train(odd(spark), labels)
@@ -349,6 +396,34 @@ def test_chat_recovers_roles(spark):
     assert abs(got.agg(F.sum("n_turns")).first()[0] - turns) < 0.1 * turns
 
 
+def test_chat_recovers_roles_of_transcripts_not_learnt_from(spark):
+    """Learnt from some forty conversations, each in one style, held against the others in every style."""
+    written = chat.transcripts(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")).withColumn("part", F.pmod(F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)))
+    model = chat.train(written.where("part = 0"))
+    for style in range(len(chat.STYLES)):
+        right, known = chat.format_transcripts(written.where("part > 0").withColumn("style", F.lit(style)), model).agg(F.sum("n_right"), F.sum("n_known")).first()
+        # The last style has no markers: blank lines and question marks alone tell.
+        assert known > 1000 and right / known > (0.99 if style < len(chat.STYLES) - 1 else 0.95), style
+
+
+def test_chat_training_is_bounded_on_any_layout(spark):
+    written = chat.transcripts(spark.read.parquet(f"{SF}/conversations.parquet")).cache()
+    same = lambda a, b: (a.start == b.start).all() and (a.step == b.step).all() and all((x == y).all() for x, y in zip(a.emit, b.emit, strict=True))
+    one, two = (chat.train(df, sample_bytes=20_000) for df in (written.coalesce(1), written.repartition(7)))
+    assert same(one, two) and not same(one, chat.train(written)) and same(chat.train(written, sample_bytes=0), chat.Hmm.train([]))
+    known = [r for r in written.withColumn("h", F.xxhash64("conv_id", "segment", "branch")).orderBy("h", "conv_id", "segment", "branch").collect() if all(t.role in chat.ROLES for t in r.turns)]
+    total, own = 0, []
+    for r in known:
+        size = sum(len(t.text.encode()) for t in r.turns)
+        if size <= 20_000:
+            total += size
+            if total > 20_000:
+                break
+            text, states = chat.write([(t.role, t.text) for t in r.turns], r.style)
+            own.append((text.split("\n"), states))
+    assert same(one, chat.Hmm.train(own)) and 0 < len(own) < len(known)
+
+
 def test_viterbi_is_the_best_path():
     model = chat.Hmm.train([(["User: a", "b", "", "Assistant: c"], [2, 3, 3, 4])] * 5)
     lines = ["User: x?", "more", "Assistant: y"]
@@ -409,6 +484,33 @@ def test_dates_and_addresses_stay_linked_over_forms():
     assert pii.replace("10.01.1.1", key)[0] == "10.01.1.1"
 
 
+def test_planted_values_are_found_and_nothing_else():
+    """Values made by rule, each between plain words, in every pairing of kinds: all are found where they stand."""
+    def luhn(body):
+        total = sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(body))))
+        return body + str(-total % 10)
+
+    rng = random.Random(11)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    made = {
+        "email": lambda: f"user{digits(3)}@host{digits(2)}.example.org",
+        "card": lambda: luhn("4" + digits(14)),
+        "ipv4": lambda: ".".join(str(rng.randint(1, 254)) for _ in range(4)),
+        "date": lambda: f"{rng.randint(1950, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}",
+        "ssn": lambda: f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}",
+    }
+    plain = ("the 12 of them", "room 404, floor 3", "costs 17.50 a kilo", "version 2.10", "pages 10-12", "ratio 3:4")
+    for a in made:
+        for b in made:
+            for _ in range(20):
+                x, y, w = made[a](), made[b](), [rng.choice(plain) for _ in range(3)]
+                text = f"{w[0]} {x} {w[1]}, {y}; {w[2]}"
+                new, found = pii.replace(text, b"k")
+                at = text.index(y, len(w[0]) + 1 + len(x))
+                assert found == [(a, len(w[0]) + 1, len(w[0]) + 1 + len(x)), (b, at, at + len(y))], text
+                assert pii.replace(new, b"k", True)[0] == text
+
+
 def test_feistel_is_a_permutation():
     for left, right in ((10, 10), (1, 26), (26, 260)):
         out = {pii.feistel(n, left, right, b"k", "x") for n in range(left * right)}
