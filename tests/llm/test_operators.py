@@ -289,6 +289,35 @@ def test_decontamination(spark, part):
     assert {r.doc_id for r in decontamination.clean(df, bench).collect()} == {2, 3, 4, 6}
 
 
+def test_decontamination_by_several_automata_over_held_batches(spark, monkeypatch):
+    """Items of many parts against batches that are held and settled in groups give what one automaton gives."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(60)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(k, " ".join(prose(rng.choice((0, 1, 4, 9, 14))) if k % 9 else ["w1", "w2"])) for k in range(40)]
+    texts = [" ".join(prose(rng.randint(0, 40))) + (". " + items[k % 40][1].upper() + "! " if k % 3 == 0 else "") + " ".join(prose(5)) for k in range(90)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(decontamination, "HELD", 700)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        one, many = (sorted(decontamination.find(df, bench, part_bytes=p).collect()) for p in (1 << 20, 150))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert one == many and sum(r.n_hit > 0 for r in one) > 30
+    for r in one:
+        assert (r.n_words, r.n_hit, r["items"]) == brute_hits(texts[r.doc_id], items)
+
+
+def test_automaton_size_is_bounded_by_its_items():
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    items = [(str(k), " ".join(rng.choice(vocabulary) for _ in range(50)).encode()) for k in range(300)]
+    part = decontamination.Part(items, 10)
+    assert part.automaton.get_stats()["total_size"] < 160 * sum(len(t) for _, t in items)
+
+
 def test_decontamination_edges(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     assert decontamination.clean(odd(spark), bench).columns == odd(spark).columns
