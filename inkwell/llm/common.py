@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.session import own_dir
+from inkwell.session import bounded_batches, own_dir
 
 _OWN_DIRS: dict[str, str] = {}
 
@@ -64,15 +64,6 @@ def forget(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches sent to Python workers small whatever the texts' lengths."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")):
-        try:
-            spark.conf.set(key, value)
-        except Exception:  # noqa: BLE001  a setting that this Spark does not have
-            pass
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column as one byte array and the n + 1 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -231,6 +231,29 @@ def test_stored_index_answers_as_one_made_anew(spark):
         assert set(one) == {r.path for r in stored.match(stored.parse(query)).collect()}
 
 
+def refused(text):
+    raise AssertionError("all tokens were made")
+
+
+def test_trigrams_are_looked_up_in_the_text(spark):
+    rows = [("a", "Something THING"), ("b", "thin gs"), ("c", None), ("d", "th"), ("e", "xthingthing"), ("f", "İthing" + "ab" * 50_000)]
+    index = fulltext.Index.build(spark.createDataFrame(rows, "path string, text string"), ("text",), Tokenizer("trigram"))
+    nodes = [index.parse(q) for q in ('"thing"', '"thi" OR "hin"*', '^"thi"', '"thing" NOT "ome"')]
+    index.tokenizer.tokens = refused
+    assert ["".join(sorted(r.path for r in index.match(n).collect())) for n in nodes] == ["aef", "abef", "b", "ef"]
+
+
+@pytest.mark.parametrize("spec", ["trigram", "porter unicode61", "unicode61", "ascii", "porter unicode61 separators 'n'"])
+def test_places_are_those_of_the_tokens(spec):
+    tokenizer = Tokenizer(spec)
+    for text in ("Things thing; the thirty-first ÉTÉ été, aaaa", "", None, "th", "aaaaaa things"):
+        tokens = tokenizer.tokens(text)
+        exact, heads = frozenset(tokenizer.tokens("things aaaa ete")), ("th",)
+        want = [(t, i) for i, t in enumerate(tokens) if t in exact or t.startswith(heads)]
+        assert tokenizer.places(text, exact, heads) == (len(tokens), want)
+        assert tokenizer.places(text, exact) == (len(tokens), [(t, i) for t, i in want if t in exact])
+
+
 def test_excerpt_terms_leave_out_what_must_not_match():
     node = fulltext.Parser('title: "Big Words" other* NOT hidden', Tokenizer()).parse()
     assert [w for p in fulltext.phrases_of(node) for w in p.words] == ["big", "words", "other"]
