@@ -38,3 +38,15 @@ def test_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_without_oracle(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_titles_of_texts_without_a_first_line(spark, duck, tmp_path):
+    """Empty, blank and marks-only first lines, and no text."""
+    texts = ["", "\n", "\nsecond line", " \n", "--\nx", "-a-", "\r\nb", None, "plain title\nx", "数据"]
+    rows = [(i, t, "en", "src1", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("segmented_titles", "or_bag"):
+        df, want = QUERIES[name](spark, str(tmp_path)), c.sql(ORACLES[name])
+        assert plain(df.collect(), df.columns) == plain(want.fetchall(), want.columns), name
