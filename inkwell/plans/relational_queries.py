@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+#: Suppliers that a task of sql_theta_join holds at once, and into how many parts a nation's customers are dealt.
+BLOCK, ACROSS = 4096, 16
 
 
 def query(sql: str):
@@ -62,10 +64,35 @@ def sql_anti_join(spark, sf_dir):
 
 @query("SELECT DISTINCT s_suppkey, c_custkey FROM supplier JOIN customer ON (s_nationkey = c_nationkey AND s_acctbal > c_acctbal + 9000) OR s_suppkey = c_custkey")
 def sql_theta_join(spark, sf_dir):
-    """A disjunction as the union of two joins on equality, which shuffle by key; as one condition it would compare all pairs."""
+    """A disjunction as the union of two joins on equality, which shuffle by key; as one condition it would compare all pairs.
+
+    The pairs grow with the square of a nation's rows, so none is kept for DISTINCT: of a key's rows in a nation the
+    best balance decides, pairs of equal keys come from the second join, and only keys of several nations on both sides
+    can meet twice. A nation's pairs are made in blocks, of which a task holds one block of suppliers.
+    """
     s, c = _t(spark, sf_dir, "supplier", "customer")
-    a = s.join(c, (s.s_nationkey == c.c_nationkey) & (s.s_acctbal > c.c_acctbal + 9000)).select("s_suppkey", "c_custkey")
-    return a.union(s.join(c, s.s_suppkey == c.c_custkey).select("s_suppkey", "c_custkey")).distinct()
+    several = lambda key: F.count("*").over(Window.partitionBy(key)) > 1
+    sn = s.where("s_nationkey is not null").groupBy("s_suppkey", "s_nationkey").agg(F.max("s_acctbal").alias("s_acctbal")).withColumn("s_more", several("s_suppkey"))
+    cn = c.where("c_nationkey is not null").groupBy("c_custkey", "c_nationkey").agg((F.min("c_acctbal") + 9000).alias("least")).withColumn("c_more", several("c_custkey"))
+    # Only rows that have a partner in their nation; a block of suppliers for each BLOCK of them in the largest nation.
+    sn = sn.join(cn.groupBy("c_nationkey").agg(F.min("least").alias("lowest")), F.col("s_nationkey") == F.col("c_nationkey")).where("s_acctbal > lowest").drop("c_nationkey", "lowest")
+    cn = cn.join(sn.groupBy("s_nationkey").agg(F.max("s_acctbal").alias("top")), F.col("s_nationkey") == F.col("c_nationkey")).where("least < top").drop("s_nationkey", "top")
+    rows = sn.groupBy("s_nationkey").count().agg(F.max("count")).first()[0] or 0
+    down = -(-rows // BLOCK) or 1
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n).cast("long"))
+    sn = sn.withColumn("s_i", part("s_suppkey", down)).withColumn("s_j", every(ACROSS))
+    cn = cn.withColumn("c_i", every(down)).withColumn("c_j", part("c_custkey", ACROSS))
+    pairs = ["s_suppkey", "c_custkey"]
+
+    def met(cn: DataFrame, sn: DataFrame) -> DataFrame:
+        block = (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("s_i") == F.col("c_i")) & (F.col("s_j") == F.col("c_j"))
+        return cn.join(sn.hint("merge"), block & (F.col("s_acctbal") > F.col("least")) & F.coalesce(F.col("s_suppkey") != F.col("c_custkey"), F.lit(True)))
+
+    once = met(cn, sn).where(~(F.col("s_more") & F.col("c_more"))).select(pairs)
+    again = met(cn.where("c_more"), sn.where("s_more")).select(pairs).distinct()
+    same = s.select("s_suppkey").distinct().join(c.select("c_custkey").distinct(), F.col("s_suppkey") == F.col("c_custkey"))
+    return once.unionAll(again).unionAll(same.select(pairs))
 
 
 @query("SELECT user_id, event_id, value, coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id), -1) AS before FROM events")
