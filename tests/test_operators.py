@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from inkwell import output
 from inkwell.functions import text as tx
+from inkwell.functions import tokens
 from inkwell.functions.tokens import Tokenizer, porter, segment_field, segment_match
 from inkwell.errors import InkwellError
 from inkwell.operators import fulltext, fusion, graph, links, overview, sections, vector
@@ -231,6 +232,34 @@ def test_stored_index_answers_as_one_made_anew(spark):
         assert set(one) == {r.path for r in stored.match(stored.parse(query)).collect()}
 
 
+def test_search_tokenizes_once_and_stems_a_word_once(spark, tmp_path):
+    notes = spark.createDataFrame([(f"n{i}", "Things", "", "things thing therein " * (i + 1)) for i in range(5)], "path string, title string, summary string, text string")
+    index = fulltext.Index.build(notes)
+    made = spark.sparkContext.accumulator(0)
+
+    def places(*asked, own=index.tokenizer):
+        made.add(1)
+        return Tokenizer.places(own, *asked)
+
+    index.tokenizer.places = places
+    found = index.search("things OR therein", 10)
+    assert [r.path for r in found.collect()] == [r.path for r in fulltext.Index.stored(index.postings, index.sizes, index.columns, index.tokenizer).search("things OR therein", 10).collect()]
+    assert made.value == 15
+    stems = Counter()
+    memory = tokens._Memory(lambda w: stems.update([w]) or porter(w))
+    assert [memory[w] for w in ["things", "thing", "things", "x" * 65, "x" * 65]][:3] == ["thing"] * 3
+    assert stems == {"things": 1, "thing": 1, "x" * 65: 2} and len(memory) == 2
+
+
+def test_a_stem_begins_as_its_word():
+    ends = ["", "s", "es", "ies", "sses", "ed", "eed", "ing", "y", "e", "ll", "ion", *tokens._STEP2, *tokens._STEP3, *tokens._STEP4, "bility", "ably", "ity", "ality", "ivity", "ency", "ancy", "logy", "icity", "ational", "ations", "izing", "ating", "bling", "nesses", "fulnesses", "tion", "sion"]
+    for head in ("", "a", "at", "cre", "rela", "ti", "hop", "ab", "possi", "y", "ay", "conf", "tt", "iz"):
+        for one in ends:
+            for two in ends:
+                w = head + one + two
+                assert w.startswith(porter(w)[:-2]), w
+
+
 def refused(text):
     raise AssertionError("all tokens were made")
 
@@ -246,9 +275,9 @@ def test_trigrams_are_looked_up_in_the_text(spark):
 @pytest.mark.parametrize("spec", ["trigram", "porter unicode61", "unicode61", "ascii", "porter unicode61 separators 'n'"])
 def test_places_are_those_of_the_tokens(spec):
     tokenizer = Tokenizer(spec)
-    for text in ("Things thing; the thirty-first ÉTÉ été, aaaa", "", None, "th", "aaaaaa things"):
+    for text in ("Things thing; the thirty-first ÉTÉ été, aaaa İda ida ponies ability able", "", None, "th", "aaaaaa things"):
         tokens = tokenizer.tokens(text)
-        exact, heads = frozenset(tokenizer.tokens("things aaaa ete")), ("th",)
+        exact, heads = frozenset(tokenizer.tokens("things aaaa ete ida pony abilities")), ("thi",)
         want = [(t, i) for i, t in enumerate(tokens) if t in exact or t.startswith(heads)]
         assert tokenizer.places(text, exact, heads) == (len(tokens), want)
         assert tokenizer.places(text, exact) == (len(tokens), [(t, i) for t, i in want if t in exact])
