@@ -40,33 +40,36 @@ def pagerank(edges: DataFrame, nodes: DataFrame, *, base: DataFrame | None = Non
         start = known.select("path", F.lit(1.0).alias("weight"))
     else:
         start = known.join(base.groupBy("path").agg(F.sum("weight").cast("double").alias("weight")), "path", "left").fillna(0.0, ["weight"])
-    live = edges.select("src", "dst").where("src is not null and dst is not null").join(known.select(F.col("path").alias("src")), "src", "left_semi").join(known.select(F.col("path").alias("dst")), "dst", "left_semi")
-    size = start.select(F.lit(1)).unionAll(live.select(F.lit(1))).count()
-    if size <= small:
-        both = start.select(F.lit(None).cast("string").alias("src"), F.col("path").alias("dst"), "weight").unionByName(live.select("src", "dst", F.lit(None).cast("double").alias("weight")))
+    # Nodes by numbers that the cut fixes; nodes and edges are made once, each iteration shuffles numbers.
+    start = cut(start.withColumn("id", F.monotonically_increasing_id()))
+    number = lambda name: start.select(F.col("path").alias(name), F.col("id").alias(name[0]))
+    live = cut(edges.select("src", "dst").where("src is not null and dst is not null").join(number("src"), "src").join(number("dst"), "dst").select("s", "d"))
+    if start.count() + live.count() <= small:
+        no = F.lit(-1).cast("long")
+        both = start.select(no.alias("s"), F.col("id").alias("d"), "path", "weight").unionByName(live.select("s", "d", F.lit(None).cast("string").alias("path"), F.lit(None).cast("double").alias("weight")))
 
         def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            names = pdf[pdf.src.isna()].sort_values("dst")
-            links = pdf[pdf.src.notna()]
-            index = pd.Index(names.dst)
+            names = pdf[pdf.s < 0].sort_values("path")
+            links = pdf[pdf.s >= 0]
+            index = pd.Index(names.d)
             weight = names.weight.to_numpy(float)
             total = weight.sum()
             weight = weight / total if total else weight
-            ends = np.array([index.get_indexer(links.src), index.get_indexer(links.dst)])
-            return pd.DataFrame({"path": names.dst.to_numpy(), "rank": _power(ends, len(index), weight, damping, iterations)})
+            ends = np.array([index.get_indexer(links.s), index.get_indexer(links.d)])
+            return pd.DataFrame({"path": names.path.to_numpy(), "rank": _power(ends, len(index), weight, damping, iterations)})
 
         return both.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(whole, "path string, rank double")
     total = start.agg(F.sum("weight")).first()[0] or 1.0
-    degree = live.groupBy("src").agg(F.count("*").alias("out"))
-    state = cut(start.select("path", (F.col("weight") / total).alias("base")).join(degree.withColumnRenamed("src", "path"), "path", "left").withColumn("rank", F.col("base")))
-    live = cut(live)
+    degree = live.groupBy(F.col("s").alias("id")).agg(F.count("*").alias("out"))
+    state = cut(start.select("id", (F.col("weight") / total).alias("base")).join(degree, "id", "left").withColumn("rank", F.col("base")))
     for _ in range(iterations):
         lost = state.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        given = state.where("out is not null").select(F.col("path").alias("src"), (F.col("rank") / F.col("out")).alias("share"))
-        got = live.join(given, "src").groupBy(F.col("dst").alias("path")).agg(F.sum("share").alias("got"))
+        # Ranks of nothing give nothing: a walk from few seeds moves the edges that it has reached.
+        given = state.where("out is not null and rank != 0").select(F.col("id").alias("s"), (F.col("rank") / F.col("out")).alias("share"))
+        got = live.join(given, "s").groupBy(F.col("d").alias("id")).agg(F.sum("share").alias("got"))
         rank = (1 - damping) * F.col("base") + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost) * F.col("base"))
-        state = cut(state.join(got, "path", "left").select("path", "base", "out", rank.alias("rank")))
-    return state.select("path", "rank")
+        state = cut(state.join(got, "id", "left").select("id", "base", "out", rank.alias("rank")))
+    return start.select("path", "id").join(state.select("id", "rank"), "id").select("path", "rank")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -75,6 +78,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def personalized(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None, **options) -> DataFrame:
     """PageRank over edges taken both ways that starts and restarts at ``seeds`` (path, weight)."""
+    edges = cut(edges.select("src", "dst").where("src is not null and dst is not null"))
     around = nodes if nodes is not None else edges.select(F.col("src").alias("path")).union(edges.select("dst")).union(seeds.select("path"))
     return pagerank(both_ways(edges), around, base=seeds, damping=PERSONAL_DAMPING, iterations=PERSONAL_ITERATIONS, **options)
 

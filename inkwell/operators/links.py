@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import base_key, clean_target, directory, resolve_dots
+from inkwell.session import cut
 
 #: The name in [[name#heading|label]], and a note's path in [label](path.md#heading), which may hold blanks.
 _WIKI = r"\[\[([^\]|#]+)[^\]]*\]\]"
@@ -28,7 +29,8 @@ def resolve(links: DataFrame, files: DataFrame) -> DataFrame:
     clean = clean_target(F.col("target"))
     folder = directory(F.col("src"))
     beside = resolve_dots(F.when(folder == "", clean).otherwise(F.concat(folder, F.lit("/"), clean)))
-    named = links.withColumn("target_base", base_key(clean))
+    # Read twice below: cut, or the bodies would be searched for links twice.
+    named = cut(links.withColumn("target_base", base_key(clean)))
     ways = F.array(clean, F.concat(clean, F.lit(".md")), beside, F.concat(beside, F.lit(".md")))
     tried = named.select("src", "target", F.posexplode(ways).alias("way", "candidate"))
     exact = tried.join(files.select(F.col("path").alias("candidate")), "candidate").groupBy("src", "target").agg(F.min_by("candidate", "way").alias("exact"))

@@ -299,6 +299,29 @@ def test_placeholders_outside_of_literals():
     assert Tree.placeholders("SELECT '?', \"?\", `a?`, ? -- ?\n/* ? */ WHERE x = ?") == 2
 
 
+def counted(spark, df, read):
+    """``df``, of which ``read`` counts the rows as they are made."""
+    return spark.createDataFrame(df.rdd.map(lambda r: (read.add(1), tuple(r))[1]), df.schema)
+
+
+def test_personal_ranks_make_the_edges_once(spark, edges):
+    nodes = paths(spark, *[f"n{i}" for i in range(14)], "n3")
+    seeds = spark.createDataFrame([("n1", 2.0), ("n13", 1.0), ("n1", 1.0)], "path string, weight double")
+    got = []
+    for options in ({}, {"small": 0}):
+        read = spark.sparkContext.accumulator(0)
+        got.append({r.path: round(r["rank"], 12) for r in graph.personalized(counted(spark, edges, read), seeds, nodes, **options).collect()})
+        assert read.value == len(EDGES)
+    assert got[0] == got[1] and len(got[0]) == 14 and abs(sum(got[0].values()) - 1) < 1e-9 and got[0]["n13"] > 0
+
+
+def test_links_are_extracted_once_to_be_resolved(spark):
+    read = spark.sparkContext.accumulator(0)
+    found = spark.createDataFrame([("a.md", "b"), ("a.md", "b"), ("b.md", "none")], "src string, target string")
+    got = links.resolve(counted(spark, found, read), paths(spark, "a.md", "b.md")).collect()
+    assert sorted((r.src, r.dst or "") for r in got) == [("a.md", "b.md"), ("a.md", "b.md"), ("b.md", "")] and read.value == 3
+
+
 def test_refreshed_links_equal_a_full_resolution(spark):
     old = {"a/x.md": "[[y]] [[b/y]] [[n.md]] [[gone]] [[q/]]", "a/y.md": "[[x]]", "gone.md": "[[x]]", "z.md": "[[new]] [q](b/../b/y.md)"}
     new = {k: v for k, v in old.items() if k != "gone.md"} | {"z.md": "[[x]] [q](b/../b/y.md)", "b/y.md": "[[y]]", "new.md": "[[gone]]", "n.md.md": "", "a/q.md": ""}
