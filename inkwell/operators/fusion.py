@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.session import cut
+
 #: Added to a rank before its reciprocal.
 RRF = 60
 LINK_FLOOR = 1e-9
@@ -25,9 +27,12 @@ def fuse(matches: DataFrame, links: DataFrame | None = None, vectors: DataFrame
     for more, kind in ((links, "link"), (vectors, "vector")):
         if more is not None:
             lists = lists.unionByName(more.select("path", "i", F.lit(kind).alias("kind")))
+    lists = lists if linked is None else cut(lists)
     got = lists.groupBy("path").agg(F.sum(1.0 / (RRF + F.col("i"))).alias("score"), F.collect_set("kind").alias("kinds"))
     touches = F.lit(True)
     if linked is not None:
+        # Of all edges only those at the lists' notes, some dozens, go into the join.
+        linked = linked.select("path").join(F.broadcast(lists.select("path")), "path", "left_semi")
         got = got.join(linked.select("path", F.lit(True).alias("touches")).distinct(), "path", "left")
         touches = F.coalesce("touches", F.lit(False))
     has = lambda k: F.array_contains("kinds", k)

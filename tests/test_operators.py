@@ -322,6 +322,17 @@ def test_links_are_extracted_once_to_be_resolved(spark):
     assert sorted((r.src, r.dst or "") for r in got) == [("a.md", "b.md"), ("a.md", "b.md"), ("b.md", "")] and read.value == 3
 
 
+def test_a_plain_search_and_its_fusion_read_the_notes_once(spark, edges):
+    read = spark.sparkContext.accumulator(0)
+    notes = spark.createDataFrame([(f"n{i}", "t", "s", "amber " * (i % 3)) for i in range(12)], "path string, title string, summary string, text string")
+    found = fulltext.Index.build(counted(spark, notes, read), tokenizer=Tokenizer("unicode61 remove_diacritics 0")).search("amber", 5)
+    matches = fusion.numbered(found, ["score", "path"])
+    touching = edges.where("dst is not null").select(F.col("src").alias("path"))
+    got = fusion.fuse(matches, paths(spark, "n7", "n2").withColumn("i", F.lit(0)), None, touching.where("path != 'n2'"))
+    assert {r.path: r.via for r in got.collect()} == {"n2": "match", "n5": "match", "n8": "match", "n11": "match", "n1": "match", "n7": "link"} | ({"n7": "match+link"} if "n7" in {r.path for r in matches.collect()} else {})
+    assert read.value == 12
+
+
 def test_refreshed_links_equal_a_full_resolution(spark):
     old = {"a/x.md": "[[y]] [[b/y]] [[n.md]] [[gone]] [[q/]]", "a/y.md": "[[x]]", "gone.md": "[[x]]", "z.md": "[[new]] [q](b/../b/y.md)"}
     new = {k: v for k, v in old.items() if k != "gone.md"} | {"z.md": "[[x]] [q](b/../b/y.md)", "b/y.md": "[[y]]", "new.md": "[[gone]]", "n.md.md": "", "a/q.md": ""}
